@@ -1,8 +1,9 @@
 """The queries opN_<name> of this subpackage, and SQL for those that SQL can express."""
 
-from oakmill.llm import exact_dedup
+from oakmill.llm import bpe, exact_dedup
 
 QUERIES = {
+    "op2_byte_bpe": bpe.op2_byte_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
