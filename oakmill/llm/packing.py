@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oakmill.llm.bpe import Encoder, Vocabulary, groups_of
 from oakmill.llm.common import table, whole_text, written
@@ -160,6 +161,8 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     numbered = held.withColumn("_rank", F.row_number().over(within) - 1).join(offsets, ["length", "_part"])
     numbered = numbered.select(*parts.columns, (F.col("_rank") + F.col("_before")).alias("_rank"))
 
+    columns = parts.columns
+
     def place(batches):
         table_ = runs.value
         keys = (table_[:, 0] << 44) | table_[:, 1]
@@ -169,12 +172,13 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             run = table_[np.searchsorted(keys, (length << 44) | rank, side="right") - 1] if len(rank) else table_[:0]
             nth, each = rank - run[:, 1], np.maximum(run[:, 2], 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in parts.columns]
+                [batch.column(c) for c in columns]
                 + [pa.array(run[:, 3] + nth // each, pa.int64()), pa.array(run[:, 4] + nth % each * length, pa.int64())],
-                names=[*parts.columns, "sequence_id", "offset"],
+                names=[*columns, "sequence_id", "offset"],
             )
 
-    return numbered.mapInArrow(place, parts.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id long, offset long")
+    schema = T.StructType([*parts.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return numbered.mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
