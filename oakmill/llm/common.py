@@ -50,3 +50,15 @@ def whole_text(name: str = "text"):
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, share: int = 1000) -> DataFrame:
+    """``rows`` left-joined to ``groups`` (unique keys, ``size``: how many of the ``total`` rows have the key).
+
+    Groups above a ``share``-th of all rows, so fewer than ``share`` of them, are broadcast; in the join
+    of the others no key has more rows than that.
+    """
+    limit = max(1, total // share)
+    hot, cold = groups.where(F.col(size) > limit), groups.where(F.col(size) <= limit)
+    big = rows.join(F.broadcast(hot), keys)
+    return big.unionByName(rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cold, keys, "left"))

@@ -1,12 +1,13 @@
 """The queries opN_<name> of this subpackage, and SQL for those that SQL can express."""
 
-from oakmill.llm import bpe, exact_dedup, packing, token_counts, toxicity
+from oakmill.llm import bpe, exact_dedup, near_dedup, packing, token_counts, toxicity
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_token_counts": token_counts.op3_token_counts,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
