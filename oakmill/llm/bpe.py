@@ -261,31 +261,43 @@ class Encoder:
     def __init__(self, vocab: Vocabulary, pattern: str):
         self.vocab, self.pattern = vocab, regex.compile(pattern)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, vocab.special)) + ")") if vocab.special else None
-        self._clear()
+        self.after_blank, self.other = {}, {}
+        self.flat, self.n_flat, self.known = np.zeros(0, np.int32), 0, np.zeros((2, 0), np.int64)
+        self._age()
 
-    def _clear(self) -> None:
+    def _age(self) -> None:
+        """Starts new tables; the full ones stay behind them, so chunks in use are copied, not encoded again."""
+        self.old = self.after_blank, self.other, self.known, self.flat
         self.after_blank: dict[str, int] = {}
         self.other: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.n_flat = 0
         self.known = np.zeros((2, 0), np.int64)
 
-    def _add(self, where: dict, keys: list[str], texts: list[str]) -> None:
-        """Encodes texts in one go and adds their ids to a table."""
-        split = [self.pattern.findall(text) for text in texts]
+    def _add(self, blank: bool, keys: list[str], texts: list[str]) -> None:
+        """Adds the ids of texts to a table: from the older table, or encoded in one go."""
+        before, known, flat = self.old[not blank], *self.old[2:]
+        codes = np.fromiter(map(before.get, keys, repeat(-1)), np.int64, len(keys))
+        aged = np.flatnonzero(codes >= 0)
+        at, sizes = known[0][codes[aged]], known[1][codes[aged]]
+        self._put(blank, [keys[k] for k in aged.tolist()], _slices(flat, at, sizes), np.r_[0, np.cumsum(sizes)])
+        new = np.flatnonzero(codes < 0).tolist()
+        split = [self.pattern.findall(texts[k]) for k in new]
         flat_pieces = [p for own in split for p in own]
         names = dict(zip(dict.fromkeys(flat_pieces), range(len(flat_pieces))))
         ids, starts, sizes = merge_all([p.encode("utf-8", "replace") for p in names], self.vocab)
         which = np.fromiter(map(names.__getitem__, flat_pieces), np.int64, len(flat_pieces))
-        flat = _slices(ids, starts[which], sizes[which])
         ends = np.r_[0, np.cumsum(sizes[which])][np.r_[0, np.cumsum([len(own) for own in split])].astype(np.int64)]
+        self._put(blank, [keys[k] for k in new], _slices(ids, starts[which], sizes[which]), ends)
+
+    def _put(self, blank: bool, keys: list[str], flat: np.ndarray, ends: np.ndarray) -> None:
         while self.n_flat + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.n_flat : self.n_flat + len(flat)] = flat
         first = self.known.shape[1]
         self.known = np.concatenate([self.known, [self.n_flat + ends[:-1], np.diff(ends)]], axis=1)
         self.n_flat += len(flat)
-        where.update(zip(keys, range(first, first + len(keys))))
+        (self.after_blank if blank else self.other).update(zip(keys, range(first, first + len(keys))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has. Special strings are ids of their own."""
@@ -306,7 +318,7 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.known.shape[1] > TABLE_CHUNKS or self.n_flat > TABLE_IDS:
-            self._clear()
+            self._age()
         chunks: list[str] = []
         firsts, sizes = [], []
         for text in texts:
@@ -337,11 +349,11 @@ class Encoder:
         is_head = heads[of] == missing
         inner = missing[~is_head].tolist()
         new = [c for c in set(map(chunks.__getitem__, inner)) if not _edged(c[1:] if c[:1] == "\n" else c)]
-        self._add(self.after_blank, new, [c if c[0] == "\n" else " " + c for c in new])
+        self._add(True, new, [c if c[0] == "\n" else " " + c for c in new])
         starting = missing[is_head].tolist()
         alone = {chunks[at] for at, k in zip(starting, of[is_head].tolist()) if sizes[k] == 1}
         new = [c for c in set(map(chunks.__getitem__, starting)) if not _edged(c) or (not c and c in alone)]
-        self._add(self.other, new, new)
+        self._add(False, new, new)
         codes[missing[~is_head]] = np.fromiter(map(find, map(chunks.__getitem__, inner), repeat(-1)), np.int64, len(inner))
         codes[missing[is_head]] = [self.other.get(chunks[at], -1) for at in starting]
 
