@@ -1,8 +1,8 @@
 """User functions over columns: scalar ones and ones that give several columns or any number of rows.
 
 A user function takes a pandas frame with its arguments as columns and gives one of: a frame (a row for each
-row), a list of scalars, of lists (one row's columns), or of frames (any number of rows for each row), a Series or an
-array. It may be a coroutine function. All become Arrow-batched pandas UDFs: scalar ones of the declared type, the
+row; or, if its index is labelled, any number of rows for each labelled row), a list of scalars, of lists (one row's
+columns), or of frames (any number of rows for each row), a Series or an array. It may be a coroutine function. All become Arrow-batched pandas UDFs: scalar ones of the declared type, the
 others of ``array<struct<...>>``, which SQL reads through ``LATERAL VIEW inline``.
 """
 
@@ -43,19 +43,35 @@ async def _awaited(x):
     return await x
 
 
-def _rows(out, n: int) -> list[pd.DataFrame]:
-    """A frame of rows for each input row, whatever form the function gave."""
-    if isinstance(out, pd.DataFrame):
-        parts = [out.iloc[k : k + 1] for k in range(len(out))]
-    elif isinstance(out, (pd.Series, np.ndarray)):
-        parts = [pd.DataFrame([row] if np.ndim(row) else [[row]]) for row in list(out)]
-    elif isinstance(out, list):
-        parts = [x if isinstance(x, pd.DataFrame) else pd.DataFrame([x] if isinstance(x, (list, tuple)) else [[x]]) for x in out]
+def _rows(out, n: int, names: list[str]) -> list[list[dict]]:
+    """Rows for each input row, whatever form the function gave; rows with a null are left out."""
+    if isinstance(out, pd.DataFrame) and not isinstance(out.index, pd.RangeIndex) and len(out):
+        order = np.argsort(out.index.to_numpy(), kind="stable")  # labels say which input a row belongs to
+        flat, lengths = out.iloc[order], np.bincount(out.index.to_numpy()[order], minlength=n)
+    elif isinstance(out, pd.DataFrame):
+        flat, lengths = out, np.ones(len(out), np.int64)
+    elif isinstance(out, (list, pd.Series, np.ndarray)):
+        out = list(out)
+        if any(isinstance(x, pd.DataFrame) for x in out):
+            lengths = np.array([len(x) for x in out], np.int64)
+            full = [x.set_axis(range(x.shape[1]), axis=1) for x in out if len(x)]
+            flat = pd.concat(full) if full else pd.DataFrame(columns=names)
+        else:
+            flat, lengths = pd.DataFrame([x if isinstance(x, (list, tuple, np.ndarray)) else [x] for x in out]), np.ones(len(out), np.int64)
     else:
         raise TypeError(f"a user function can't give {type(out).__name__}")
-    if len(parts) != n:
-        raise ValueError(f"a user function gave {len(parts)} results for {n} rows")
-    return parts
+    if len(lengths) != n:
+        raise ValueError(f"a user function gave {len(lengths)} results for {n} rows")
+    if len(flat) and flat.shape[1] != len(names):
+        raise ValueError(f"a user function gave {flat.shape[1]} columns for {len(names)}")
+    if not len(flat):
+        return [[] for _ in range(n)]
+    flat = flat.set_axis(names, axis=1)
+    whole = flat.notna().all(axis=1).to_numpy()
+    kept = np.bincount(np.repeat(np.arange(n), lengths)[whole], minlength=n)
+    records = flat[whole].to_dict("records")
+    ends = np.cumsum(kept).tolist()
+    return [records[e - k : e] for e, k in zip(ends, kept.tolist())]
 
 
 def _scalars(out, n: int) -> pd.Series:
@@ -86,13 +102,7 @@ def register(spark: SparkSession, name: str, function, returns: str) -> UserFunc
         @F.pandas_udf(rows)
         def wrapped(*args: pd.Series) -> pd.Series:
             frame = pd.concat(args, axis=1).set_axis(range(len(args)), axis=1) if args else pd.DataFrame()
-            out = []
-            for part in _rows(_called(function, frame), len(frame)):
-                if part.shape[1] != len(names):
-                    raise ValueError(f"{name} gave {part.shape[1]} columns for {len(names)}")
-                part = part.set_axis(names, axis=1).dropna()
-                out.append(part.to_dict("records"))
-            return pd.Series(out)
+            return pd.Series(_rows(_called(function, frame), len(frame), names))
 
         spark.udf.register(name, wrapped)
         return UserFunction(name, kind, None)
