@@ -220,25 +220,32 @@ def _families(texts: list[str]) -> np.ndarray:
 
 
 def _learn_terms(texts: list[str], toxic: np.ndarray, family: np.ndarray) -> Terms:
-    words = [set(WORD.findall(t.lower())) for t in texts]
-    with_term: tuple[dict, dict] = ({}, {})
-    for mine, y, f in zip(words, toxic, family):
-        if y:
-            for w in mine:
-                for n in range(4, len(w) + 1):
-                    with_term[0].setdefault(w[:n], set()).add(f)
-                with_term[1].setdefault(w, set()).add(f)
-    totals = [len(set(family[toxic == y])) for y in (0, 1)]
+    """Terms whose odds in toxic texts are clearly above those in clean ones. A term counts once for each family;
+    families are read one after the other, so that only counts are held."""
+    members: dict[int, list[int]] = {}
+    for k, f in enumerate(family.tolist()):
+        members.setdefault(f, []).append(k)
+
+    def of_families(label: int):
+        for own in members.values():
+            if mine := [k for k in own if toxic[k] == label]:
+                yield {w for k in mine for w in WORD.findall(texts[k].lower())}
+
+    with_term: tuple[Counter, Counter] = (Counter(), Counter())
+    totals = [0, 0]
+    for words in of_families(1):
+        totals[1] += 1
+        with_term[0].update({w[:n] for w in words for n in range(4, len(w) + 1)})
+        with_term[1].update(words)
     least = max(3, 0.003 * totals[1])
-    kept = [{t: len(fs) for t, fs in terms.items() if len(fs) >= least} for terms in with_term]
+    kept = [{t: n for t, n in terms.items() if n >= least} for terms in with_term]
+    del with_term
     clean: list[Counter] = [Counter(), Counter()]
-    seen: set = set()
-    for mine, y, f in zip(words, toxic, family):
-        if not y and f not in seen:
-            seen.add(f)
-            begins = {w[:n] for w in mine for n in range(4, len(w) + 1)}
-            clean[0].update(begins & kept[0].keys())
-            clean[1].update(mine & kept[1].keys())
+    for words in of_families(0):
+        totals[0] += 1
+        begins = {w[:n] for w in words for n in range(4, len(w) + 1)}
+        clean[0].update(begins & kept[0].keys())
+        clean[1].update(words & kept[1].keys())
     scored = []
     for i in (0, 1):
         for term, p in kept[i].items():
@@ -264,8 +271,9 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     for side in (0, 1):
         use, test = np.flatnonzero(half != side), np.flatnonzero(half == side)
         if len(use) and len(test):
-            terms = _learn_terms([texts[k] for k in use], y[use], family[use])
-            x[test] = Reader(terms).features([texts[k] for k in test])
+            reader = Reader(_learn_terms([texts[k] for k in use], y[use], family[use]))
+            held = [texts[k] for k in test]
+            x[test] = np.concatenate([reader.features(held[a:b]) for a, b in groups_of(held, 500_000)])
     design = np.c_[x, np.ones(len(x))]
     share = 1 / np.bincount(family)[family]  # near copies count as one together
     prior = np.r_[default, -3.0]
