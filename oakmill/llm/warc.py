@@ -143,7 +143,7 @@ def write_warc(recs: DataFrame, folder: str, per_file: int = PER_FILE) -> DataFr
 
     def run(batches):
         os.makedirs(folder, exist_ok=True)
-        now, file, done = None, None, []
+        now, file, last, done = None, None, None, []
 
         def close():
             if file is not None:
@@ -153,7 +153,10 @@ def write_warc(recs: DataFrame, folder: str, per_file: int = PER_FILE) -> DataFr
                 done.append((now, path, os.path.getsize(path)))
 
         for batch in batches:
-            for file_id, record in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            for file_id, page, record in zip(*(c.to_pylist() for c in batch.columns)):
+                if last == (page, record):
+                    continue  # equal records of an id count once
+                last = page, record
                 if file_id != now:
                     close()
                     now, file = file_id, open(os.path.join(folder, f".{file_id}.{os.getpid()}"), "wb")
