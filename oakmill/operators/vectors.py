@@ -11,12 +11,14 @@ import shutil
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 METRICS = ("l2", "cosine", "dot")
 DRIVER_VECTORS = 200_000
+BLOCK = 4096
 
 
 def _matrix(column) -> np.ndarray:
@@ -121,6 +123,31 @@ class VectorStore:
         w = Window.partitionBy("query").orderBy("distance", "id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "distance")
 
+    def search(self, name: str, queries: DataFrame, k: int = 5, where: str | None = None) -> DataFrame:
+        """``query, rank, id, distance`` for many vectors (``id, embedding``), however many: vectors and queries are dealt
+        to blocks, and each pair of blocks is one group of bounded size that gives k rows for each of its queries."""
+        rows = (self.data[name].where(where) if where else self.data[name]).select(F.col("id").cast("long"), "embedding")
+        queries, metric = queries.select(F.col("id").cast("long"), "embedding"), self.metric[name]
+        blocks = [max(1, -(-df.count() // BLOCK)) for df in (rows, queries)]
+        deal = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        data = rows.select("id", "embedding", deal(blocks[0]).alias("b"), every(blocks[1]).alias("qb"))
+        asked = queries.select("id", "embedding", deal(blocks[1]).alias("qb"), every(blocks[0]).alias("b"))
+
+        def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(x):
+                return pd.DataFrame({"query": [], "id": [], "distance": []}).astype({"query": "int64", "id": "int64", "distance": "float64"})
+            x = x.sort_values("id", kind="stable")
+            stack = lambda f: np.stack([np.asarray(v, np.float32) for v in f["embedding"]])
+            d = scores(metric, stack(q), stack(x))
+            at = np.argsort(d, axis=1, kind="stable")[:, :k]
+            n = at.shape[1]
+            return pd.DataFrame({"query": np.repeat(q["id"].to_numpy(), n), "id": x["id"].to_numpy()[at.ravel()], "distance": np.take_along_axis(d, at, 1).ravel().astype(float)})
+
+        met = asked.groupBy("b", "qb").cogroup(data.groupBy("b", "qb")).applyInPandas(meet, "query long, id long, distance double")
+        w = Window.partitionBy("query").orderBy("distance", "id")
+        return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "distance")
+
     def execute(self, name: str, representatives: DataFrame, k: int = 5) -> DataFrame:
         """The k nearest of some vectors of the index (``id``) for all of it."""
         reps = self.get_embeddings_by_id(name, representatives).toArrow()
