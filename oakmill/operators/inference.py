@@ -148,16 +148,11 @@ class Inference:
             for batch in batches:
                 for a in range(0, len(batch), size):
                     rows = batch.iloc[a : a + size].reset_index(drop=True)
-                    answers = service.infer_batch(rows)
-                    if len(answers) != len(rows):
-                        raise ValueError(f"{service.name}: {len(answers)} answers to {len(rows)} inputs")
-                    lengths = [len(x) for x in answers]
+                    together, lengths = service.infer_flat(rows)
                     if not sum(lengths):
                         continue
-                    frames = [x.set_axis(range(x.shape[1]), axis=1) for x in answers if len(x)]
-                    if any(x.shape[1] != n_given for x in frames):
+                    if together.shape[1] != n_given:
                         raise ValueError(f"{service.name}: answers need {n_given} columns")
-                    together = pd.concat(frames, ignore_index=True)
                     source = rows.loc[rows.index.repeat(lengths)].reset_index(drop=True)
                     yield pd.DataFrame({name: source[copied] if copied else together[k] for name, copied, k in columns})
 

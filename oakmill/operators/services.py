@@ -31,6 +31,17 @@ class Service:
     def infer_batch(self, rows: pd.DataFrame) -> list[pd.DataFrame]:
         return [self.infer_one(row) for _, row in rows.iterrows()]
 
+    def infer_flat(self, rows: pd.DataFrame) -> tuple[pd.DataFrame, list[int]]:
+        """All outputs in one frame, and how many each input has."""
+        return flat(self.name, self.infer_batch(rows), len(rows))
+
+
+def flat(name: str, answers: list[pd.DataFrame], n: int) -> tuple[pd.DataFrame, list[int]]:
+    if len(answers) != n:
+        raise ValueError(f"{name}: {len(answers)} answers to {n} inputs")
+    full = [x.set_axis(range(x.shape[1]), axis=1) for x in answers if len(x)]
+    return (pd.concat(full, ignore_index=True) if full else pd.DataFrame()), [len(x) for x in answers]
+
 
 class FunctionService(Service):
     """A function of a whole frame of inputs. It gives a list with a frame for each row, or one frame with as many rows
@@ -48,6 +59,14 @@ class FunctionService(Service):
             return [out.iloc[k : k + 1] for k in range(len(out))]
         return list(out)
 
+    def infer_flat(self, rows: pd.DataFrame) -> tuple[pd.DataFrame, list[int]]:
+        out = self.function(rows)
+        if not isinstance(out, pd.DataFrame):
+            return flat(self.name, list(out), len(rows))
+        if len(out) != len(rows):
+            raise ValueError(f"{self.name}: {len(out)} rows for {len(rows)} inputs")
+        return out.set_axis(range(out.shape[1]), axis=1).reset_index(drop=True), [1] * len(out)
+
 
 class FrameService(Service):
     """A service that is a DataFrame already: outputs are found by joining on the inputs, by Spark itself.
@@ -108,8 +127,8 @@ class HTTPService(Service):
     ``inputs``: the JSON path of each input column; ``outputs``: that of each output column (a path with ``ANY``
     gives as many rows as the list has). ``transport(url, headers, body)`` gives the response's JSON; by default it
     posts with urllib. ``per_minute`` spaces requests of one task. ``wrap``: text put before and after the content of
-    chat messages. With ``batch`` one request has columns of values and the response a list with an answer for each
-    row (or, for pair services whose url ends in ``__join``, one list of rows).
+    chat messages. With ``batch`` one request has columns of values, and the response is a list with an answer for each
+    row, or one frame as a dict of columns, as services of pairs give it.
     """
 
     def __init__(self, name: str, url: str, inputs: list[tuple], outputs: list[tuple], *, headers: dict | None = None, defaults: list[tuple[tuple, Any]] = (), input_types: list[type] | None = None, output_types: list[type] | None = None, per_minute: float | None = None, batch: bool = False, transport: Callable | None = None, wrap: tuple[str, str] | None = None, **options):
@@ -172,9 +191,8 @@ class HTTPService(Service):
         for k, path in enumerate(self.inputs):
             body = put_in(body, tuple(p for p in path if p is not ANY), [rows.iloc[:, k].tolist()])
         data = self._post(body)
-        if self.url.rstrip("/").endswith("__join"):
-            data = [[d] for d in data]
-            return [self.answer(d[0]) for d in data]
+        if isinstance(data, dict):  # one frame, as columns: an answer for each pair
+            data = [dict(zip(data, row)) for row in zip(*data.values())]
         if len(data) != len(rows):
             raise ValueError(f"{self.name}: {len(data)} answers to {len(rows)} inputs")
         return [self.answer(d) for d in data]

@@ -215,16 +215,22 @@ class ProxyIndex:
         ids, matrix = data.column(0).to_numpy(), _matrix(data.column(1))
         chosen = farthest_points(ids, matrix, buckets, share, seed, old)
         self._reps = chosen, matrix[np.isin(ids, chosen)]
+        self._forget()
+
+    def _forget(self) -> None:
+        if self._nearest is not None:
+            self._nearest.unpersist()
         self._nearest = None
 
     def set_representatives(self, ids: list[int]) -> None:
         data = self.vectors.where(F.col("id").isin([int(i) for i in ids])).orderBy("id").select("id", "embedding").toArrow()
-        self._reps, self._nearest = (data.column(0).to_numpy(), _matrix(data.column(1))), None
+        self._reps = data.column(0).to_numpy(), _matrix(data.column(1))
+        self._forget()
 
     def nearest(self) -> DataFrame:
         if self._nearest is None:
             self.representatives()
-            self._nearest = nearest(self.vectors, *self._reps, self.k)
+            self._nearest = nearest(self.vectors, *self._reps, self.k).persist()
         return self._nearest
 
     def nearest_of(self, new: DataFrame) -> DataFrame:

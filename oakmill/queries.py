@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oakmill.operators.rows import indexed
-from oakmill.operators.services import FrameService, FunctionService
+from oakmill.operators.services import ANY, FrameService, FunctionService, HTTPService
 from oakmill.operators.vectors import ProxyIndex, VectorStore
 from oakmill.plans.lineage import where_clauses
 from oakmill.session import Engine
@@ -167,6 +167,10 @@ over_documents("window_over_infer", "SELECT d.doc_id, row_number() OVER (PARTITI
 over_documents("distinct_expressions", "SELECT DISTINCT upper(d.lang) AS lang, s.size FROM documents d JOIN doc_size s ON d.doc_id = s.doc_id")
 over_documents("rollup_infer", "SELECT d.lang, s.size, COUNT(*) AS n FROM documents d JOIN doc_size s ON d.doc_id = s.doc_id GROUP BY ROLLUP (d.lang, s.size)")
 over_documents("exact_top", "SELECT d.doc_id, d.n_chars FROM documents d JOIN doc_labels q ON d.doc_id = q.doc_id WHERE q.toxic = 1 ORDER BY d.n_chars DESC, d.doc_id LIMIT 10 OFFSET 2")
+over_documents("order_by_alias", "SELECT d.lang, COUNT(*) AS n FROM documents d JOIN doc_labels q ON d.doc_id = q.doc_id GROUP BY d.lang HAVING n > 2 ORDER BY n DESC")
+over_documents("tuple_in", "SELECT d.doc_id FROM documents d JOIN doc_labels q ON d.doc_id = q.doc_id WHERE (q.quality, q.toxic) IN (SELECT quality, toxic FROM doc_labels WHERE toxic = 1)")
+over_documents("ilike_infer", "SELECT d.doc_id, q.toxic FROM documents d JOIN doc_labels q ON d.doc_id = q.doc_id WHERE d.lang ILIKE 'E%' AND q.quality >= 1")
+over_documents("full_join", "SELECT q.doc_id AS labelled, s.doc_id AS sized FROM doc_labels q FULL JOIN doc_size s ON q.doc_id = s.doc_id AND s.size = 'long'")
 over_documents("exists_infer", "SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM doc_labels q WHERE q.doc_id = d.doc_id AND q.toxic = 1)")
 over_orders("infer_chain", "SELECT f.flag, COUNT(*) AS n FROM orders o JOIN items i ON o.o_orderkey = i.l_orderkey JOIN item_flags f ON i.l_orderkey = f.f_orderkey AND i.l_linenumber = f.f_linenumber WHERE o.o_totalprice > 100000 AND i.l_quantity > 10 GROUP BY f.flag")
 over_orders("infer_chain_only", "SELECT flag, COUNT(*) AS n FROM item_flags GROUP BY flag")
@@ -218,6 +222,45 @@ def join_cross_udf(spark: SparkSession, d: str) -> DataFrame:
     return pairs_engine(spark, d).execute("SELECT c.c_custkey, s.s_suppkey FROM customer c CROSS JOIN supplier s WHERE same(c.c_nationkey, s.s_nationkey) = TRUE AND s.s_acctbal > 5000")
 
 
+@query("udf_join_on", "SELECT c.c_mktsegment, COUNT(*) AS n FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey AND c.c_acctbal < s.s_acctbal GROUP BY c.c_mktsegment")
+def udf_join_on(spark: SparkSession, d: str) -> DataFrame:
+    e = pairs_engine(spark, d)
+    found = e.execute("SELECT c.c_mktsegment, c.c_custkey FROM customer c JOIN supplier s ON same(c.c_nationkey, s.s_nationkey) = TRUE AND c.c_acctbal < s.s_acctbal")
+    return found.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "composite_keys",
+    """SELECT c.role, CASE WHEN length(c.text) > 200 THEN 'long' ELSE 'short' END AS kind, COUNT(*) AS n FROM conversations c WHERE c.turn < 5 GROUP BY ALL""",
+)
+def composite_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Blobs with a key of two columns."""
+    e = Engine(spark)
+    e.register_blob_table("conversations", _read(spark, d, "conversations"), ["conv_id", "turn"])
+    e.register_output_table("turn_kinds", "conv_id long, turn long, kind string", ["conv_id", "turn"], {"conv_id": "conversations.conv_id", "turn": "conversations.turn"})
+    e.register_inference_service(FunctionService("kinder", lambda r: pd.DataFrame({"k": np.where(r.iloc[:, 2].str.len() > 200, "long", "short")})))
+    keys = {"conversations.conv_id": "turn_kinds.conv_id", "conversations.turn": "turn_kinds.turn"}
+    e.bind_inference_service("kinder", (["conversations.conv_id", "conversations.turn", "conversations.text"], ["turn_kinds.kind"]), keys)
+    return e.execute("SELECT c.role, k.kind, COUNT(*) AS n FROM conversations c JOIN turn_kinds k ON c.conv_id = k.conv_id AND c.turn = k.turn WHERE k.turn < 5 GROUP BY c.role, k.kind")
+
+
+def _post(url: str, headers: dict, body: dict) -> list[dict]:
+    """Stands for a model server: tags for each event."""
+    return [{"result": {"tags": [{"name": kind}, {"name": "big"}] if value > 50 else [{"name": kind}]}} for kind, value in zip(body["kinds"], body["values"])]
+
+
+@query("http_service", "SELECT tag, COUNT(*) AS n FROM (SELECT event_type AS tag FROM events UNION ALL SELECT 'big' FROM events WHERE value > 50) GROUP BY tag")
+def http_service(spark: SparkSession, d: str) -> DataFrame:
+    """A service that posts JSON and reads any number of rows from a list in the answer."""
+    e = Engine(spark)
+    e.register_blob_table("events", _read(spark, d, "events"), ["event_id"])
+    e.register_output_table("event_tags", "event_id long, tag string", ["event_id"], {"event_id": "events.event_id"})
+    service = HTTPService("tagger", "http://models/tags", [("ids",), ("kinds",), ("values",)], [("result", "tags", ANY, "name")], batch=True, transport=_post)
+    e.register_inference_service(service)
+    e.bind_inference_service("tagger", (["events.event_id", "events.event_type", "events.value"], ["event_tags.tag"]), {"events.event_id": "event_tags.event_id"})
+    return e.execute("SELECT tag, COUNT(*) AS n FROM event_tags GROUP BY tag")
+
+
 def pairs_engine(spark: SparkSession, d: str) -> Engine:
     e = Engine(spark)
     e.register_blob_table("customer", _read(spark, d, "customer"), ["c_custkey"])

@@ -176,6 +176,8 @@ def test_http_service():
         HTTPService("h", "u", [("a", ANY, ANY)], [("b",)])
     b = HTTPService("b", "u", [("xs",)], [("y",)], batch=True, transport=lambda u, h, body: [{"y": x + 1} for x in body["xs"]])
     assert [f.iloc[0, 0] for f in b.infer_batch(pd.DataFrame({"x": [1, 2]}))] == [2, 3]
+    pairs = HTTPService("p", "http://x/match__join", [("a",)], [("same",)], batch=True, transport=lambda u, h, body: {"same": [x > 1 for x in body["a"]]})
+    assert [bool(f.iloc[0, 0]) for f in pairs.infer_batch(pd.DataFrame({"x": [1, 2]}))] == [False, True]
     short = HTTPService("b", "u", [("xs",)], [("y",)], batch=True, transport=lambda u, h, body: [])
     with pytest.raises(ValueError):
         short.infer_batch(pd.DataFrame({"x": [1]}))
@@ -397,7 +399,7 @@ def test_query_is_its_sql(spark, sf, name):
         assert len(got)
         return
     con = duckdb.connect()
-    for t in "customer supplier orders lineitem documents labels embeddings".split():
+    for t in "customer supplier orders lineitem documents labels embeddings events conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.execute(queries.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
