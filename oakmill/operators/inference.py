@@ -27,6 +27,9 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+TASK_ROWS = 1_000_000
+
+
 class Store:
     """Outputs and seen keys of services as Parquet files. Every run of a service adds a folder; nothing is changed
     in place, so a run that fails leaves nothing behind that is read."""
@@ -116,7 +119,7 @@ class Inference:
         if bound.verbose:
             print(f"{name}: {n} rows")
         if n:
-            self.store.add(name, "out", self._run(bound, new))
+            self.store.add(name, "out", self._run(bound, new, n))
             self.store.add(name, "seen", new.select(*keys))
         if not return_results:
             return None
@@ -130,7 +133,7 @@ class Inference:
             condition = one if condition is None else condition & one
         return inputs.join(outputs, condition).select(*[F.col(f"i{k}").alias(c) for k, c in enumerate(binding.inputs)], *[F.col(f"`{c}`") for c in binding.written if c not in binding.inputs])
 
-    def _run(self, bound: Bound, new: DataFrame) -> DataFrame:
+    def _run(self, bound: Bound, new: DataFrame, n: int) -> DataFrame:
         binding, service = bound.binding, bound.service
         schema = output_schema(self.catalog, bound)
         given = [c for c in binding.outputs if c not in binding.copied]
@@ -157,7 +160,7 @@ class Inference:
                     yield pd.DataFrame({name: source[copied] if copied else together[k] for name, copied, k in columns})
 
         tasks = self.spark.sparkContext.defaultParallelism
-        return new.repartition(max(1, min(tasks * 4, -(-new.count() // size)))).mapInPandas(call, schema)
+        return new.repartition(max(1, min(max(tasks * 4, n // TASK_ROWS), -(-n // size)))).mapInPandas(call, schema)
 
     def outputs(self, name: str) -> DataFrame:
         """All outputs of a service so far, columns named table.column."""
