@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oakmill.llm.common import table, whole_text
+from oakmill.llm.common import table, tidy, whole_text
 
 NO_PAIR = np.int32(2**31 - 1)
 BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512)
@@ -420,7 +420,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["doc_id", "ids"])
 
-    return _named(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return _named(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decoded(encoded_docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -437,7 +437,7 @@ def decoded(encoded_docs: DataFrame, vocabulary: str) -> DataFrame:
                     {"doc_id": pa.array([doc], pa.int64()), "bytes": pa.array([data.tobytes()], pa.binary())}
                 )
 
-    return encoded_docs.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return encoded_docs.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, bytes binary")
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -470,7 +470,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
                 )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _named(docs, id_col, text_col).mapInArrow(run, schema)
+    return _named(docs, id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

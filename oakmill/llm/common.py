@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +65,26 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     hot, cold = groups.where(F.col(size) > limit), groups.where(F.col(size) <= limit)
     big = rows.join(F.broadcast(hot), keys)
     return big.unionByName(rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cold, keys, "left"))
+
+
+def release() -> None:
+    """Gives freed memory back to the system. Python workers serve one task after the other, and what a big
+    task leaves in the allocators would stay with the worker and add up with the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def tidy(run):
+    """A function over batches that gives back its memory when its task is done."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oakmill.llm.common import partitions, table, whole_text, written
+from oakmill.llm.common import partitions, table, tidy, whole_text, written
 from oakmill.llm.cqf import CountingQuotientFilter
 
 BITMAP_BITS = 26
@@ -69,7 +69,7 @@ def repeated_bits(prints: DataFrame, rows: int, bits: int = BITMAP_BITS) -> byte
 
     shards = (
         prints.select("fp")
-        .mapInArrow(_filters(shard_bits), "shard long, filter binary")
+        .mapInArrow(tidy(_filters(shard_bits)), "shard long, filter binary")
         .groupBy("shard")
         .applyInPandas(merge, "shard long, bits binary")
     )

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oakmill.llm.bpe import Encoder, Vocabulary, groups_of
-from oakmill.llm.common import table, whole_text, written
+from oakmill.llm.common import table, tidy, whole_text, written
 
 CAPACITY = 2048
 END = 0
@@ -140,7 +140,7 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPAC
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(tidy(run), schema)
 
 
 def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -178,7 +178,7 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             )
 
     schema = T.StructType([*parts.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return numbered.mapInArrow(place, schema)
+    return numbered.mapInArrow(tidy(place), schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oakmill.llm.common import join_groups, table, whole_text, written
+from oakmill.llm.common import join_groups, table, tidy, whole_text, written
 
 UNITS = {
     "sentence": r"[^\n.!?]*[\n.!?]+|[^\n.!?]+",
@@ -75,7 +75,7 @@ def units(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_id", text_
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     schema = "row long, doc_id long, place int, start int, end int, words int, hi long, lo long"
-    return named.mapInArrow(run, schema)
+    return named.mapInArrow(tidy(run), schema)
 
 
 def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
@@ -136,7 +136,7 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 out["n_chars"] = lengths.cast(batch.column("n_chars").type)
             yield pa.RecordBatch.from_pydict(out)
 
-    return docs.join(cuts, "doc_id", "left").select(*columns, "__cuts").mapInArrow(run, docs.schema)
+    return docs.join(cuts, "doc_id", "left").select(*columns, "__cuts").mapInArrow(tidy(run), docs.schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

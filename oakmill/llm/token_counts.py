@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oakmill.llm.bpe import groups_of
-from oakmill.llm.common import table, whole_text
+from oakmill.llm.common import table, tidy, whole_text
 
 MARK = "▁"
 TABLE_WORDS = 600_000
@@ -162,7 +162,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT, id_col: str =
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     named = named.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    return named.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return named.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def prefix_table(docs: DataFrame, model: str) -> DataFrame:
@@ -180,7 +180,7 @@ def prefix_table(docs: DataFrame, model: str) -> DataFrame:
                 )
 
     named = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    return named.mapInArrow(run, "doc_id long, counts array<int>")
+    return named.mapInArrow(tidy(run), "doc_id long, counts array<int>")
 
 
 def longest_within(budget):
