@@ -20,6 +20,7 @@ among them support a term once. Scoring is one pass over whole texts without a s
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oakmill.llm.bpe import groups_of
-from oakmill.llm.common import table, whole_text
+from oakmill.llm.common import table, tidy, whole_text
 
 TOXIC_TEXTS, CLEAN_TEXTS, TERMS = 1500, 4500, 6000
 THRESHOLD = 0.7
@@ -316,9 +317,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         part = marked.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         pick = part if pick is None else pick.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    rows = texts.join(F.broadcast(pick), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")
-    data = rows.select("text", "toxic").toArrow()
-    return fit(data.column(0).to_pylist(), data.column(1).to_pylist())
+    rows = texts.join(F.broadcast(pick), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+
+    def one(batches):
+        data = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit([r[1] for r in data], [r[2] for r in data]))]})
+
+    made = rows.repartition(1).mapInArrow(tidy(one), "model binary").collect()  # a bounded sample, in one task
+    return pickle.loads(made[0]["model"]) if made else fit([], [])
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -346,7 +352,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
                 )
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), held_out().alias("held_out"))
-    return named.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return named.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -362,7 +368,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
                 keep[a:b] = shared.value.score(own, texts[a:b]) < threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
