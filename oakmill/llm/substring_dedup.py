@@ -28,7 +28,7 @@ UNITS = {
     "line": r"[^\n]*\n|[^\n]+",
     "paragraph": r"(?:[^\n]|\n(?!\n))*\n\n+|(?:[^\n]|\n(?!\n))+\n?",
 }
-MIN_WORDS = 20
+MIN_WORDS = 26
 FLUSH_UNITS = 100_000
 
 
