@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oakmill.llm.bpe import groups_of
-from oakmill.llm.common import join_groups, table, whole_text, written
+from oakmill.llm.common import join_groups, table, tidy, whole_text, written
 from oakmill.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -45,24 +45,33 @@ _U = np.uint64
 
 
 class Shingler:
-    """Hashed shingles of many texts at once; the hash of each word is kept in a bounded table."""
+    """Hashed shingles of many texts at once; the hash of each word is kept in a bounded table (words have small
+    numbers there, which become an array much faster than 64-bit hashes would)."""
 
     def __init__(self):
         self.words: dict[str, int] = {}
+        self.hashes = np.zeros(0, _U)
+
+    def _learn(self, new: list[str]) -> None:
+        first = len(self.words)
+        self.words.update(zip(new, range(first, first + len(new))))
+        made = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in new], _U)
+        self.hashes = np.concatenate([self.hashes, made])
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
         """All texts' different shingles in a row (sorted within a text), their counts, each text's start
         (with one more at the end), and the words. A text without words has none; one of fewer words
         than a shingle has one of them all."""
         if len(self.words) > TABLE_WORDS:
-            self.words.clear()
+            self.words, self.hashes = {}, np.zeros(0, _U)
         split = [t.lower().split() for t in texts]
         flat = [w for own in split for w in own]
-        found = np.fromiter(map(self.words.get, flat, repeat(0)), _U, len(flat))
-        missing = np.flatnonzero(found == 0).tolist()
-        for word in set(map(flat.__getitem__, missing)):
-            self.words[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "replace")) or 1
-        found[missing] = [self.words[flat[k]] for k in missing]
+        codes = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int32, len(flat))
+        missing = np.flatnonzero(codes < 0).tolist()
+        if missing:
+            self._learn(list(set(map(flat.__getitem__, missing))))
+            codes[missing] = [self.words[flat[k]] for k in missing]
+        found = self.hashes[codes]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         begins = np.cumsum(sizes) - sizes
         with np.errstate(over="ignore"):
@@ -120,7 +129,7 @@ def frequencies(texts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"slice": pa.array(list(held), pa.int32()), "counts": packed})
 
     schema = "slice int, counts binary"
-    sums = texts.select("text").mapInArrow(count, schema).repartition(SLICES // 8, "slice").mapInArrow(add, schema)
+    sums = texts.select("text").mapInArrow(tidy(count), schema).repartition(SLICES // 8, "slice").mapInArrow(tidy(add), schema)
     out = np.zeros((SLICES, size), np.int64)
     for k, data in sums.toLocalIterator():
         out[k] = np.frombuffer(zlib.decompress(data), "<i8")
@@ -188,7 +197,7 @@ def signatures(texts: DataFrame, weights) -> DataFrame:
                     names=["doc_id", "words", "total", "sig"],
                 )
 
-    return texts.mapInArrow(run, "doc_id long, words binary, total double, sig binary")
+    return texts.mapInArrow(tidy(run), "doc_id long, words binary, total double, sig binary")
 
 
 def _with_id_bit(spark: SparkSession, ids: DataFrame, column: str):
@@ -211,11 +220,15 @@ def _promising(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFram
     """Pairs (hub, doc) that total weights and samples leave possible."""
     side = lambda name: reps.select(F.col("doc").alias(name), F.col("total").alias(f"{name}_w"), F.col("sig").alias(f"{name}_sig"))
     both = pairs.join(side("doc"), "doc").join(side("hub"), "hub")
-    ratio = F.least("doc_w", "hub_w") / F.greatest("doc_w", "hub_w")
-    same = sum(
-        F.when(F.substring("doc_sig", 4 * k + 1, 4) == F.substring("hub_sig", 4 * k + 1, 4), 1).otherwise(0) for k in range(SAMPLES)
-    )
-    return both.where((ratio >= similarity - 1e-6) & (same >= AGREE)).select("hub", "doc")
+    both = both.where(F.least("doc_w", "hub_w") / F.greatest("doc_w", "hub_w") >= similarity - 1e-6)
+
+    def agree(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, SAMPLES) for c in ("hub_sig", "doc_sig"))
+            keep = pa.array((a == b).sum(1) >= AGREE)
+            yield pa.RecordBatch.from_arrays([batch.column("hub").filter(keep), batch.column("doc").filter(keep)], names=["hub", "doc"])
+
+    return both.select("hub", "doc", "hub_sig", "doc_sig").mapInArrow(tidy(agree), "hub long, doc long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
@@ -249,7 +262,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights, similarity: float) ->
 
     with_doc = pairs.join(texts.select(F.col("doc_id").alias("doc"), F.col("text").alias("doc_text")), "doc")
     both = with_doc.join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text")), "hub")
-    return both.select("hub", "doc", "hub_text", "doc_text").mapInArrow(run, "u long, v long")
+    return both.select("hub", "doc", "hub_text", "doc_text").mapInArrow(tidy(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
