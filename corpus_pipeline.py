@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from oakmill.llm.common import table, written
+from oakmill.llm.common import table, whole_text, written
 from oakmill.llm.exact_dedup import exact_duplicates
 from oakmill.llm.near_dedup import near_duplicates
 from oakmill.llm.packing import public_pack
@@ -24,8 +25,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of byte-identical texts the row with the largest doc_id stays."""
-    return docs.join(exact_duplicates(docs).where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Of byte-identical texts the row with the largest doc_id stays, once also if it is repeated under that id."""
+    left = docs.join(exact_duplicates(docs).where("NOT kept").select("doc_id"), "doc_id", "left_anti")
+    return left.withColumn("__digest", F.sha2(whole_text(), 256)).dropDuplicates(["doc_id", "__digest"]).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

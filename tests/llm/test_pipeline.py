@@ -79,3 +79,13 @@ def test_pipeline_of_awkward_rows(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         nothing = stage(spark, nothing, sf) if nothing.columns[:2] == ["doc_id", "text"] else nothing
     assert nothing.count() == 0
+
+
+def test_a_repeated_row_keeps_its_text_once(spark, sf):
+    long = " ".join(f"word{k}" for k in range(40)) + "."
+    own = " ".join(f"own{k}" for k in range(60)) + "."
+    docs = spark.createDataFrame([(1, long), (1, long), (2, f"{own} {long}"), (3, None), (3, ""), (None, "no id"), (None, "no id")], "doc_id long, text string")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, sf)
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in docs.collect()))
+    assert got == [(0, "no id"), (1, long), (2, own), (3, "")]
