@@ -1,10 +1,11 @@
 """Near duplicates: consistent weighted sampling over TF-IDF shingles, banded, verified exactly.
 
-1. Document frequencies. Each task counts, once per text, in which of ``BUCKETS`` hash buckets its shingles
-   (five words, lower case) fall; the sums over all documents are one array of fixed size, which is
-   broadcast. A shingle's weight is its count in the text times ``1 + log(T / df) / log(T)``, T being the
-   sum of all frequencies: from 2 for a shingle found nowhere else to 1 for one found everywhere, so common
-   passages weigh less but a copy stays a copy however many there are of it.
+1. Document frequencies, exact for each shingle (five words, lower case). Texts are written in chunks; the
+   different shingles of a chunk go, sorted and packed, to slices of the range of hashes, which add up the
+   chunks' counts and send each chunk the sums in the order of its shingles. A shingle's weight is its count in
+   the text times ``1 + log(T / df) / log(T)``, T being the sum of all frequencies: from 2 for a shingle found
+   nowhere else to 1 for one found everywhere, so common passages weigh less but a copy stays a copy however
+   many there are of it.
 2. Signatures. Improved consistent weighted sampling draws ``ROWS * BANDS`` samples of each text; a sample
    of two texts is equal with the probability of their weighted Jaccard similarity. Texts of equal words
    are one class from here on, represented by the least id.
@@ -28,17 +29,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oakmill.llm.bpe import groups_of
-from oakmill.llm.common import join_groups, table, tidy, whole_text, written
+from oakmill.llm.common import join_groups, partitions, release, table, tidy, whole_text, written
 from oakmill.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, AGREE = 12, 3, 20
 SAMPLES = BANDS * ROWS
-BUCKETS_LOG2, SLICES = 20, 64
+BUCKETS_LOG2 = 20
+CHUNK_CHARS, SLICE_CHARS = 2_000_000, 12_000_000
 TABLE_WORDS = 500_000
 ID_BITS = 22
 _U = np.uint64
@@ -105,42 +108,109 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> _U(64 - BUCKETS_LOG2)).astype(np.int64)
 
 
-def frequencies(texts: DataFrame) -> np.ndarray:
-    """Document frequency of each shingle bucket over all of ``texts`` (column ``text``)."""
-    size = (1 << BUCKETS_LOG2) // SLICES
+def _squeezed(parts: list[bytes]) -> tuple[bytes, bytes]:
+    """Lengths, and all parts compressed together."""
+    return np.array([len(x) for x in parts], "<i8").tobytes(), pa.compress(b"".join(parts), "zstd", asbytes=True)
 
-    def count(batches):
-        shingler, total = Shingler(), np.zeros(1 << BUCKETS_LOG2, np.int64)
+
+def _texts(lengths: bytes, data: bytes) -> list[str]:
+    ends = np.cumsum(np.frombuffer(lengths, "<i8")).tolist()
+    whole = pa.decompress(data, ends[-1], "zstd", asbytes=True)
+    return [whole[a:b].decode() for a, b in zip([0, *ends], ends)]
+
+
+def _packed(hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted hashes as differences: six low bytes of each, and the two high ones (mostly 0) compressed."""
+    steps = np.diff(hashes, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return steps[:, :6].tobytes(), zlib.compress(steps[:, 6:].tobytes(), 1)
+
+
+def _unpacked(low: bytes, high: bytes) -> np.ndarray:
+    steps = np.empty((len(low) // 6, 8), np.uint8)
+    steps[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
+    steps[:, 6:] = np.frombuffer(zlib.decompress(high), np.uint8).reshape(-1, 2)
+    return np.cumsum(steps.view("<u8").reshape(-1), dtype=_U)
+
+
+def chunks(texts: DataFrame) -> DataFrame:
+    """``chunk, chars, ids, fps, sizes, texts``: rows of ``texts`` (``doc_id, fp, text``) in groups, each one row with its
+    texts compressed, so that no reader gets a part of a group."""
+
+    def run(batches):
+        chunk = (TaskContext.get().partitionId() << 32) - 1
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in groups_of(texts):
-                total += np.bincount(_bucket(shingler.of(texts[a:b])[0]), minlength=len(total))
-        if total.any():
-            parts = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in total.reshape(SLICES, size)]
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "counts": parts})
-
-    def add(batches):
-        held: dict[int, np.ndarray] = {}
+            texts = batch.column(2).to_pylist()
+            for a, b in groups_of(texts, CHUNK_CHARS):
+                chunk += 1
+                lists = [pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(c).slice(a, b - a)) for c in (0, 1)]
+                sizes, data = _squeezed([t.encode() for t in texts[a:b]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk], pa.int64()), pa.array([sum(map(len, texts[a:b]))], pa.int64()), *lists, pa.array([sizes], pa.binary()), pa.array([data], pa.binary())],
+                    names=["chunk", "chars", "ids", "fps", "sizes", "texts"],
+                )
+
+    schema = "chunk long, chars long, ids array<long>, fps array<long>, sizes binary, texts binary"
+    return texts.select("doc_id", "fp", "text").mapInArrow(tidy(run), schema)
+
+
+def frequencies(grouped: DataFrame, slice_bits: int) -> DataFrame:
+    """``chunk, slice, n, df``: for the different shingles of each chunk that fall in a slice, in order of their
+    hashes, the number of texts that have them; ``n`` is the chunk's part of all frequencies."""
+
+    def count(batches):
+        shingler = Shingler()
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held[k] = held.get(k, 0) + np.frombuffer(zlib.decompress(data), "<i8")
-        if held:
-            packed = [zlib.compress(x.tobytes(), 1) for x in held.values()]
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(list(held), pa.int32()), "counts": packed})
+            for k, chunk in enumerate(batch.column(0).to_pylist()):
+                found, n = np.unique(shingler.of(_texts(batch.column(1)[k].as_py(), batch.column(2)[k].as_py()))[0], return_counts=True)
+                cuts = np.searchsorted(found >> _U(64 - slice_bits), np.arange((1 << slice_bits) + 1, dtype=_U))
+                full = np.flatnonzero(np.diff(cuts)).tolist()
+                packed = [_packed(found[cuts[i] : cuts[i + 1]] & _U((1 << (64 - slice_bits)) - 1)) for i in full]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(full, pa.int32()),
+                        pa.array([chunk] * len(full), pa.int64()),
+                        pa.array([x for x, _ in packed], pa.binary()),
+                        pa.array([x for _, x in packed], pa.binary()),
+                        pa.array([zlib.compress(n[cuts[i] : cuts[i + 1]].astype("<i8").tobytes(), 1) for i in full], pa.binary()),
+                    ],
+                    names=["slice", "chunk", "low", "high", "counts"],
+                )
 
-    schema = "slice int, counts binary"
-    sums = texts.select("text").mapInArrow(tidy(count), schema).repartition(SLICES // 8, "slice").mapInArrow(tidy(add), schema)
-    out = np.zeros((SLICES, size), np.int64)
-    for k, data in sums.toLocalIterator():
-        out[k] = np.frombuffer(zlib.decompress(data), "<i8")
-    return out.reshape(-1)
+    def add(part: pa.Table) -> pa.Table:
+        packed = [_unpacked(*x) for x in zip(part.column("low").to_pylist(), part.column("high").to_pylist())]
+        hashes = np.concatenate(packed)
+        counts = np.frombuffer(b"".join(map(zlib.decompress, part.column("counts").to_pylist())), "<i8")
+        ends = np.cumsum([len(x) for x in packed])
+        order = np.argsort(hashes, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+        sums = np.empty(len(order), "<i8")
+        sums[order] = np.add.reduceat(counts[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        out = pa.table(
+            {
+                "chunk": part.column("chunk"),
+                "slice": part.column("slice"),
+                "n": pa.array([int(x.sum()) for x in np.split(counts, ends[:-1])], pa.int64()),
+                "df": pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(sums, ends[:-1])], pa.binary()),
+            }
+        )
+        release()
+        return out
 
+    sent = grouped.select("chunk", "sizes", "texts").mapInArrow(tidy(count), "slice int, chunk long, low binary, high binary, counts binary")
+    return sent.groupBy("slice").applyInArrow(add, "chunk long, slice int, n long, df binary")
 
-def bucket_weights(df: np.ndarray) -> np.ndarray:
-    total = max(2.0, float(df.sum()))
+
+def shingle_weights(df: np.ndarray, total: float) -> np.ndarray:
+    """Weights of shingles found in ``df`` texts each, ``total`` being the sum of all shingles' frequencies."""
+    total = max(2.0, float(total))
     return (1 + np.log(total / np.maximum(df, 1)) / np.log(total)).astype(np.float32)
 
 
+def bucket_weights(df: np.ndarray) -> np.ndarray:
+    return shingle_weights(df, df.sum())
+
+
 class Sampler:
     """Improved consistent weighted sampling; random numbers come from tables indexed by hashes."""
 
@@ -176,28 +246,33 @@ class Sampler:
         return out
 
 
-def signatures(texts: DataFrame, weights) -> DataFrame:
-    """``doc_id, words`` (digest of the words), ``total`` (weight), ``sig`` of each row."""
-
-    def run(batches):
-        shingler, sampler = Shingler(), Sampler(SAMPLES)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in groups_of(texts, 2_000_000):
-                hashes, counts, starts, split = shingler.of(texts[a:b])
-                w = counts.astype(np.float32) * weights.value[_bucket(hashes)]
-                sums = np.r_[0.0, np.cumsum(w, dtype=np.float64)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        pa.array([hashlib.md5(" ".join(s).encode("utf-8", "replace")).digest() if s else t.encode("utf-8", "replace") for s, t in zip(split, texts[a:b])], pa.binary()),
-                        pa.array(np.diff(sums[starts])),
-                        pa.array([x.tobytes() for x in sampler.draw(hashes, w, starts)], pa.binary()),
-                    ],
-                    names=["doc_id", "words", "total", "sig"],
-                )
+def signatures(grouped: DataFrame, found: DataFrame, total: float) -> DataFrame:
+    """``doc_id, fp, words`` (digest of the words), ``total`` (weight), ``sig`` and ``df`` (packed frequencies of its
+    different shingles, in order) of each text of ``chunks``; ``found`` has their ``frequencies``."""
+
+    def run(own: pa.Table, sums: pa.Table) -> pa.Table:
+        sampler, columns = Sampler(SAMPLES), [[] for _ in range(6)]
+        for k in range(own.num_rows):
+            texts = _texts(own.column("sizes")[k].as_py(), own.column("texts")[k].as_py())
+            hashes, counts, starts, split = Shingler().of(texts)
+            parts = [x for _, x in sorted(zip(sums.column("slice").to_pylist(), sums.column("df").to_pylist()))]
+            df = np.frombuffer(b"".join(map(zlib.decompress, parts)), "<i8")[np.unique(hashes, return_inverse=True)[1]]
+            w = counts.astype(np.float32) * shingle_weights(df, total)
+            weights = np.r_[0.0, np.cumsum(w, dtype=np.float64)][starts]
+            columns[0] += own.column("ids")[k].as_py()
+            columns[1] += own.column("fps")[k].as_py()
+            columns[2] += [hashlib.md5(" ".join(s).encode("utf-8", "replace")).digest() if s else t.encode("utf-8", "replace") for s, t in zip(split, texts)]
+            columns[3] += np.diff(weights).tolist()
+            columns[4] += [x.tobytes() for x in sampler.draw(hashes, w, starts)]
+            columns[5] += [zlib.compress(df[a:b].tobytes(), 1) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.binary(), pa.binary()]
+        out = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "fp", "words", "total", "sig", "df"])
+        release()
+        return out
 
-    return texts.mapInArrow(tidy(run), "doc_id long, words binary, total double, sig binary")
+    own = grouped.select("chunk", "ids", "fps", "sizes", "texts").groupBy("chunk")
+    schema = "doc_id long, fp long, words binary, total double, sig binary, df binary"
+    return own.cogroup(found.select("chunk", "slice", "df").groupBy("chunk")).applyInArrow(run, schema)
 
 
 def _with_id_bit(spark: SparkSession, ids: DataFrame, column: str):
@@ -231,38 +306,38 @@ def _promising(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFram
     return both.select("hub", "doc", "hub_sig", "doc_sig").mapInArrow(tidy(agree), "hub long, doc long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, weights, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, total: float, similarity: float) -> DataFrame:
     """Pairs whose weighted Jaccard similarity reaches the threshold, from their whole texts."""
 
     def run(batches):
         shingler = Shingler()
         known: dict[int, tuple] = {}
 
-        def vector(doc: int, text: str):
+        def vector(doc: int, text: str, df: bytes):
             got = known.get(doc)
             if got is None:
                 hashes, counts, _, _ = shingler.of([text])
-                w = counts * weights.value[_bucket(hashes)].astype(np.float64)
+                w = counts * shingle_weights(np.frombuffer(zlib.decompress(df), "<i8"), total).astype(np.float64)
                 got = hashes, w, w.sum()
             return got
 
         for batch in batches:
-            hubs, docs, hub_texts, doc_texts = (c.to_pylist() for c in batch.columns)
+            hubs, docs, hub_texts, doc_texts, hub_dfs, doc_dfs = (c.to_pylist() for c in batch.columns)
             keep = np.zeros(len(hubs), bool)
             for k in range(len(hubs)):
                 if hubs[k] not in known:
                     known.clear()
-                    known[hubs[k]] = vector(hubs[k], hub_texts[k])
+                    known[hubs[k]] = vector(hubs[k], hub_texts[k], hub_dfs[k])
                 h1, w1, s1 = known[hubs[k]]
-                h2, w2, s2 = vector(docs[k], doc_texts[k])
+                h2, w2, s2 = vector(docs[k], doc_texts[k], doc_dfs[k])
                 _, i, j = np.intersect1d(h1, h2, assume_unique=True, return_indices=True)
                 shared = np.minimum(w1[i], w2[j]).sum()
                 keep[k] = shared >= similarity * (s1 + s2 - shared) - 1e-9
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["u", "v"])
 
-    with_doc = pairs.join(texts.select(F.col("doc_id").alias("doc"), F.col("text").alias("doc_text")), "doc")
-    both = with_doc.join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text")), "hub")
-    return both.select("hub", "doc", "hub_text", "doc_text").mapInArrow(tidy(run), "u long, v long")
+    with_doc = pairs.join(texts.select(F.col("doc_id").alias("doc"), F.col("text").alias("doc_text"), F.col("df").alias("doc_df")), "doc")
+    both = with_doc.join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text"), F.col("df").alias("hub_df")), "hub")
+    return both.select("hub", "doc", "hub_text", "doc_text", "hub_df", "doc_df").mapInArrow(tidy(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -275,8 +350,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).where("doc_id IS NOT NULL")
-    weights = spark.sparkContext.broadcast(bucket_weights(frequencies(texts)))
-    signed = written(signatures(texts, weights), "signatures")
+    texts = texts.withColumn("fp", F.xxhash64("text"))
+    grouped = written(chunks(texts), "chunks")
+    chars = grouped.agg(F.sum("chars")).first()[0] or 0
+    slice_bits = int(np.ceil(np.log2(max(partitions(spark), chars / SLICE_CHARS, 2))))
+    found = written(frequencies(grouped, slice_bits), "frequencies")
+    total = float(found.agg(F.sum("n")).first()[0] or 0)
+    signed = written(signatures(grouped, found, total), "signatures")
     rows = signed.count()
     classes = written(
         signed.groupBy("words").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n"), F.first("total").alias("total"), F.first("sig").alias("sig")),
@@ -289,7 +369,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     n = max(1, rows)
     members = written(join_groups(entries, sized, ["key"], "size", n).where("size IS NOT NULL").withColumn("hot", F.col("size") > n // 1000).select("key", "doc", "hot"), "members")
     may_be = _with_id_bit(spark, members.select("doc"), "doc")
-    candidates = written(texts.where(may_be("doc_id")).join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
+    counted = signed.where(may_be("doc_id")).select("doc_id", "fp", "df").dropDuplicates(["doc_id", "fp"])
+    candidates = written(texts.where(may_be("doc_id")).join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(counted, ["doc_id", "fp"]), "candidates")
     roots = members.select(F.col("doc").alias("node"), F.col("doc").alias("root")).distinct()
     open_ = members.select("key", "doc", "hot", F.col("doc").alias("root"))
     round_ = 0
@@ -308,7 +389,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             .distinct()
         )
         pairs = written(_promising(pairs, reps, similarity), "pairs")
-        links = written(_verified(pairs, candidates, weights, similarity), "links")
+        links = written(_verified(pairs, candidates, total, similarity), "links")
         joined = links.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ur")), "u").join(
             roots.select(F.col("node").alias("v"), F.col("root").alias("vr")), "v"
         )
@@ -322,11 +403,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         if open_.isEmpty():
             break
         round_ += 1
-    found = classes.select("words", "doc", "n").join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left")
-    found = found.select("words", "n", F.coalesce("root", "doc").alias("class_id"))
-    sizes = found.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_texts"))
-    found = found.join(sizes, "class_id")
-    out = join_groups(signed.select("doc_id", "words"), found, ["words"], "n", n)
+    named = classes.select("words", "doc", "n").join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left")
+    named = named.select("words", "n", F.coalesce("root", "doc").alias("class_id"))
+    sizes = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_texts"))
+    named = named.join(sizes, "class_id")
+    out = join_groups(signed.select("doc_id", "words"), named, ["words"], "n", n)
     return out.select("doc_id", "class_id", "class_texts", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 

@@ -2,11 +2,13 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import public_tokenizers as P
 from oakmill.llm import bpe, exact_dedup, near_dedup, packing, substring_dedup, token_counts, toxicity
@@ -369,3 +371,27 @@ def test_near_duplicates_of_awkward_rows(spark, awkward, nothing):
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(awkward).collect()}
     assert got[5] == 4 and got[7] == 6 and got[1] == 0 and got[20] == 0 and got[2] == 2 and None not in got
     assert near_dedup.near_duplicates(nothing).count() == 0
+
+
+def test_near_duplicates_count_each_shingle(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BUCKETS_LOG2", 1)  # as loaded as a table of fixed size gets when data grow
+    common, own = " ".join(f"c{k}" for k in range(100)), " ".join(f"o{k}" for k in range(100))
+    near = [(1, f"{own} {common} x1 x2 x3 x4 x5 x6 x7 x8 x9 x10 x11 x12 x13 x14"), (2, f"{own} {common} y1 y2 y3 y4 y5 y6 y7 y8 y9 y10 y11 y12 y13 y14")]
+    rows = near + [(k, f"{common} " + " ".join(f"r{k}_{i}" for i in range(300))) for k in range(10, 210)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.xxhash64("text"))
+    grouped = near_dedup.chunks(docs)
+    found = near_dedup.frequencies(grouped, 3)
+    total = float(found.agg(F.sum("n")).first()[0])
+    signed = near_dedup.signatures(grouped, found, total).collect()
+    shingler = near_dedup.Shingler()
+    hashes = {d: shingler.of([t])[0] for d, t in rows}
+    exact = Counter(h for own in hashes.values() for h in own.tolist())
+    assert total == sum(exact.values())
+    assert {r["doc_id"]: np.frombuffer(zlib.decompress(r["df"]), "<i8").tolist() for r in signed} == {d: [exact[h] for h in own.tolist()] for d, own in hashes.items()}
+    a, b = (dict(zip(hashes[d].tolist(), near_dedup.shingle_weights(np.array([exact[h] for h in hashes[d].tolist()]), total).astype(float))) for d in (1, 2))
+    shared = sum(a[h] for h in a.keys() & b.keys())
+    alike = shared / (sum(a.values()) + sum(b.values()) - shared)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs, similarity=alike - 1e-4).collect()}
+    assert got[2] == 1
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs, similarity=alike + 1e-4).collect()}
+    assert got[2] == 2
