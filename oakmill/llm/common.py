@@ -43,7 +43,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*held: DataFrame) -> None:
+    """Deletes what ``written`` wrote for these, once nothing that is still to be run reads it."""
+    for df in held:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def whole_text(name: str = "text"):
@@ -67,6 +77,22 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return big.unionByName(rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cold, keys, "left"))
 
 
+def join_split(rows: DataFrame, side: DataFrame, key: str, other: str, counted: DataFrame, share: int = 1000, least: int = 1000) -> DataFrame:
+    """``rows`` joined to ``side`` (unique ``key``), whose rows may be long.
+
+    A key with more than a ``share``-th of all rows (and more than ``least``) is split: its rows are dealt to parts by a
+    hash of ``other``, and its row of ``side`` is repeated for each part. That makes at most ``share`` repeats in all;
+    fewer than ``share`` keys are broadcast, without their texts. ``counted`` has the keys of ``rows`` (a written table).
+    """
+    limit = max(least, counted.count() // share)
+    hot = counted.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("parts"))
+    dealt = rows.join(F.broadcast(hot), key, "left")
+    dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    each = side.join(F.broadcast(hot), key, "left")
+    each = each.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(each, [key, "part"]).drop("part")
+
+
 def release() -> None:
     """Gives freed memory back to the system. Python workers serve one task after the other, and what a big
     task leaves in the allocators would stay with the worker and add up with the next one's."""

@@ -14,16 +14,19 @@
    component is paired with the hubs, and a hub that has met all others leaves its bucket. Buckets whose
    members are all of one component are done, so a family of copies ends after a round or two, and no pair
    that could join two components is left out.
-4. Verification. Pairs whose weights alone rule the threshold out, or that agree in too few samples
-   (``AGREE``; at the threshold, three and a half standard deviations below the mean), go; for the rest
-   the weighted Jaccard similarity is computed from the whole texts. Links are merged by ``components``.
+4. Verification. Pairs go whose total weights rule the threshold out, or bitmaps of their shingles, by a bound that
+   holds always; for all others the weighted Jaccard similarity is computed from the whole texts. Links are merged
+   by ``components``.
+
+No key is hot: buckets, hubs, roots and classes that hold more than a thousandth of the rows are salted or broadcast
+(fewer than a thousand of them; 16,000 buckets), see ``join_groups`` and ``join_split``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,78 +37,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oakmill.llm.bpe import groups_of
-from oakmill.llm.common import join_groups, partitions, release, table, tidy, whole_text, written
+from oakmill.llm.common import discard, join_groups, join_split, partitions, release, table, tidy, whole_text, written
 from oakmill.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS, AGREE = 12, 3, 20
+BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-BUCKETS_LOG2 = 20
 CHUNK_CHARS, SLICE_CHARS = 2_000_000, 12_000_000
-TABLE_WORDS = 500_000
 ID_BITS = 22
 _U = np.uint64
 
 
-class Shingler:
-    """Hashed shingles of many texts at once; the hash of each word is kept in a bounded table (words have small
-    numbers there, which become an array much faster than 64-bit hashes would)."""
-
-    def __init__(self):
-        self.words: dict[str, int] = {}
-        self.hashes = np.zeros(0, _U)
-
-    def _learn(self, new: list[str]) -> None:
-        first = len(self.words)
-        self.words.update(zip(new, range(first, first + len(new))))
-        made = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in new], _U)
-        self.hashes = np.concatenate([self.hashes, made])
-
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
-        """All texts' different shingles in a row (sorted within a text), their counts, each text's start
-        (with one more at the end), and the words. A text without words has none; one of fewer words
-        than a shingle has one of them all."""
-        if len(self.words) > TABLE_WORDS:
-            self.words, self.hashes = {}, np.zeros(0, _U)
-        split = [t.lower().split() for t in texts]
-        flat = [w for own in split for w in own]
-        codes = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int32, len(flat))
-        missing = np.flatnonzero(codes < 0).tolist()
-        if missing:
-            self._learn(list(set(map(flat.__getitem__, missing))))
-            codes[missing] = [self.words[flat[k]] for k in missing]
-        found = self.hashes[codes]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        begins = np.cumsum(sizes) - sizes
-        with np.errstate(over="ignore"):
-            rolled = np.zeros(len(flat), _U)
-            for step in range(WORDS):
-                part = found[step:]
-                rolled[: len(part)] = rolled[: len(part)] * _U(0x9E3779B97F4A7C15) + part
-            for k in np.flatnonzero((sizes > 0) & (sizes < WORDS)).tolist():
-                h = int(sizes[k])
-                for w in found[begins[k] : begins[k] + sizes[k]].tolist():
-                    h = (h * 0x9E3779B97F4A7C15 + w) & 0xFFFFFFFFFFFFFFFF
-                rolled[begins[k]] = h
-            rolled ^= rolled >> _U(31)
-            rolled *= _U(0xBF58476D1CE4E5B9)
-            rolled ^= rolled >> _U(29)
-        n = np.where(sizes >= WORDS, sizes - WORDS + 1, np.minimum(sizes, 1))
-        starts = np.r_[0, np.cumsum(n)]
-        keep = np.repeat(begins - starts[:-1], n) + np.arange(starts[-1])
-        hashes = rolled[keep]
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            hashes[a:b].sort()
-        new = np.ones(len(hashes), bool)
-        new[1:] = hashes[1:] != hashes[:-1]
-        new[starts[:-1][n > 0]] = True
-        first = np.flatnonzero(new)
-        counts = np.diff(np.r_[first, len(hashes)])
-        return hashes[first], counts, np.searchsorted(first, starts), split
-
-
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> _U(64 - BUCKETS_LOG2)).astype(np.int64)
+def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """All texts' different shingles, hashed, in a row (sorted within a text), their counts, each text's start (with one
+    more at the end), and the words of each, parted by a blank. A text without words has no shingle; one of fewer
+    words than a shingle has one of them all. No table of words is kept, whatever the texts hold."""
+    words = [" ".join(t.lower().split()).encode("utf-8", "replace") for t in texts]
+    split = [w.split(b" ") if w else [] for w in words]
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    total = int(sizes.sum())
+    found = np.fromiter(chain.from_iterable(map(xxhash.xxh64_intdigest, own) for own in split), _U, total)
+    begins = np.cumsum(sizes) - sizes
+    with np.errstate(over="ignore"):
+        rolled = np.zeros(total, _U)
+        for step in range(WORDS):
+            part = found[step:]
+            rolled[: len(part)] = rolled[: len(part)] * _U(0x9E3779B97F4A7C15) + part
+        for k in np.flatnonzero((sizes > 0) & (sizes < WORDS)).tolist():
+            h = int(sizes[k])
+            for w in found[begins[k] : begins[k] + sizes[k]].tolist():
+                h = (h * 0x9E3779B97F4A7C15 + w) & 0xFFFFFFFFFFFFFFFF
+            rolled[begins[k]] = h
+        rolled ^= rolled >> _U(31)
+        rolled *= _U(0xBF58476D1CE4E5B9)
+        rolled ^= rolled >> _U(29)
+    n = np.where(sizes >= WORDS, sizes - WORDS + 1, np.minimum(sizes, 1))
+    starts = np.r_[0, np.cumsum(n)]
+    keep = np.repeat(begins - starts[:-1], n) + np.arange(starts[-1])
+    hashes = rolled[keep]
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        hashes[a:b].sort()
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[starts[:-1][n > 0]] = True
+    first = np.flatnonzero(new)
+    counts = np.diff(np.r_[first, len(hashes)])
+    return hashes[first], counts, np.searchsorted(first, starts), words
+
+
+def _numbers(x: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the greatest needs, compressed; the first byte tells how many."""
+    width = next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << (8 * w))
+    return bytes([width]) + zlib.compress(x.astype(f"<u{width}").tobytes(), 1)
+
+
+def _counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
 
 
 def _squeezed(parts: list[bytes]) -> tuple[bytes, bytes]:
@@ -158,10 +145,9 @@ def frequencies(grouped: DataFrame, slice_bits: int) -> DataFrame:
     hashes, the number of texts that have them; ``n`` is the chunk's part of all frequencies."""
 
     def count(batches):
-        shingler = Shingler()
         for batch in batches:
             for k, chunk in enumerate(batch.column(0).to_pylist()):
-                found, n = np.unique(shingler.of(_texts(batch.column(1)[k].as_py(), batch.column(2)[k].as_py()))[0], return_counts=True)
+                found, n = np.unique(shingles(_texts(batch.column(1)[k].as_py(), batch.column(2)[k].as_py()))[0], return_counts=True)
                 cuts = np.searchsorted(found >> _U(64 - slice_bits), np.arange((1 << slice_bits) + 1, dtype=_U))
                 full = np.flatnonzero(np.diff(cuts)).tolist()
                 packed = [_packed(found[cuts[i] : cuts[i + 1]] & _U((1 << (64 - slice_bits)) - 1)) for i in full]
@@ -171,7 +157,7 @@ def frequencies(grouped: DataFrame, slice_bits: int) -> DataFrame:
                         pa.array([chunk] * len(full), pa.int64()),
                         pa.array([x for x, _ in packed], pa.binary()),
                         pa.array([x for _, x in packed], pa.binary()),
-                        pa.array([zlib.compress(n[cuts[i] : cuts[i + 1]].astype("<i8").tobytes(), 1) for i in full], pa.binary()),
+                        pa.array([_numbers(n[cuts[i] : cuts[i + 1]]) for i in full], pa.binary()),
                     ],
                     names=["slice", "chunk", "low", "high", "counts"],
                 )
@@ -179,19 +165,19 @@ def frequencies(grouped: DataFrame, slice_bits: int) -> DataFrame:
     def add(part: pa.Table) -> pa.Table:
         packed = [_unpacked(*x) for x in zip(part.column("low").to_pylist(), part.column("high").to_pylist())]
         hashes = np.concatenate(packed)
-        counts = np.frombuffer(b"".join(map(zlib.decompress, part.column("counts").to_pylist())), "<i8")
+        counts = np.concatenate(list(map(_counts, part.column("counts").to_pylist())))
         ends = np.cumsum([len(x) for x in packed])
         order = np.argsort(hashes, kind="stable")
         new = np.ones(len(order), bool)
         new[1:] = hashes[order[1:]] != hashes[order[:-1]]
-        sums = np.empty(len(order), "<i8")
+        sums = np.empty(len(order), np.int64)
         sums[order] = np.add.reduceat(counts[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         out = pa.table(
             {
                 "chunk": part.column("chunk"),
                 "slice": part.column("slice"),
                 "n": pa.array([int(x.sum()) for x in np.split(counts, ends[:-1])], pa.int64()),
-                "df": pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(sums, ends[:-1])], pa.binary()),
+                "df": pa.array(list(map(_numbers, np.split(sums, ends[:-1]))), pa.binary()),
             }
         )
         release()
@@ -201,16 +187,36 @@ def frequencies(grouped: DataFrame, slice_bits: int) -> DataFrame:
     return sent.groupBy("slice").applyInArrow(add, "chunk long, slice int, n long, df binary")
 
 
+def _bits(hashes: np.ndarray) -> bytes:
+    """A bit for each shingle at the low bits of its hash, four to eight times as many bits as shingles."""
+    size = 64 << max(0, int(np.ceil(np.log2(max(1, len(hashes)) / 16))))
+    held = np.zeros(size, bool)
+    held[(hashes & _U(size - 1)).astype(np.int64)] = True
+    return np.packbits(held, bitorder="little").tobytes()
+
+
+def _folded(bits: int, size: int, to: int) -> int:
+    while size > to:
+        size //= 2
+        bits = (bits >> size) | (bits & ((1 << size) - 1))
+    return bits
+
+
+def most_alike(a: tuple, b: tuple) -> float:
+    """The greatest weighted Jaccard similarity that two texts can have, each given as (bits, total weight, least
+    weight): a bit that only one text has stands for at least one shingle that the other lacks."""
+    size = 8 * min(len(a[0]), len(b[0]))
+    x, y = (_folded(int.from_bytes(t[0], "little"), 8 * len(t[0]), size) for t in (a, b))
+    shared = min(a[1] - (x & ~y).bit_count() * a[2], b[1] - (y & ~x).bit_count() * b[2])
+    return shared / (a[1] + b[1] - shared)
+
+
 def shingle_weights(df: np.ndarray, total: float) -> np.ndarray:
     """Weights of shingles found in ``df`` texts each, ``total`` being the sum of all shingles' frequencies."""
     total = max(2.0, float(total))
     return (1 + np.log(total / np.maximum(df, 1)) / np.log(total)).astype(np.float32)
 
 
-def bucket_weights(df: np.ndarray) -> np.ndarray:
-    return shingle_weights(df, df.sum())
-
-
 class Sampler:
     """Improved consistent weighted sampling; random numbers come from tables indexed by hashes."""
 
@@ -247,31 +253,35 @@ class Sampler:
 
 
 def signatures(grouped: DataFrame, found: DataFrame, total: float) -> DataFrame:
-    """``doc_id, fp, words`` (digest of the words), ``total`` (weight), ``sig`` and ``df`` (packed frequencies of its
-    different shingles, in order) of each text of ``chunks``; ``found`` has their ``frequencies``."""
+    """``doc_id, fp, words`` (digest of the words), ``total`` (weight), ``least`` (weight of a shingle), ``bits`` (a bit
+    set for each shingle's hash), ``sig`` and ``df`` (packed frequencies of its different shingles, in order) of each
+    text of ``chunks``; ``found`` has their ``frequencies``."""
 
     def run(own: pa.Table, sums: pa.Table) -> pa.Table:
-        sampler, columns = Sampler(SAMPLES), [[] for _ in range(6)]
+        sampler, columns = Sampler(SAMPLES), [[] for _ in range(8)]
         for k in range(own.num_rows):
             texts = _texts(own.column("sizes")[k].as_py(), own.column("texts")[k].as_py())
-            hashes, counts, starts, split = Shingler().of(texts)
-            parts = [x for _, x in sorted(zip(sums.column("slice").to_pylist(), sums.column("df").to_pylist()))]
-            df = np.frombuffer(b"".join(map(zlib.decompress, parts)), "<i8")[np.unique(hashes, return_inverse=True)[1]]
+            hashes, counts, starts, words = shingles(texts)
+            parts = [_counts(x) for _, x in sorted(zip(sums.column("slice").to_pylist(), sums.column("df").to_pylist()))]
+            df = np.concatenate([np.zeros(0, np.int64), *parts])[np.unique(hashes, return_inverse=True)[1]]
             w = counts.astype(np.float32) * shingle_weights(df, total)
             weights = np.r_[0.0, np.cumsum(w, dtype=np.float64)][starts]
             columns[0] += own.column("ids")[k].as_py()
             columns[1] += own.column("fps")[k].as_py()
-            columns[2] += [hashlib.md5(" ".join(s).encode("utf-8", "replace")).digest() if s else t.encode("utf-8", "replace") for s, t in zip(split, texts)]
+            columns[2] += [hashlib.md5(w).digest() if w else t.encode("utf-8", "replace") for w, t in zip(words, texts)]
             columns[3] += np.diff(weights).tolist()
             columns[4] += [x.tobytes() for x in sampler.draw(hashes, w, starts)]
-            columns[5] += [zlib.compress(df[a:b].tobytes(), 1) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.binary(), pa.binary()]
-        out = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "fp", "words", "total", "sig", "df"])
+            ranges = list(zip(starts[:-1].tolist(), starts[1:].tolist()))
+            columns[5] += [_numbers(df[a:b]) for a, b in ranges]
+            columns[6] += [float(w[a:b].min()) if b > a else 0.0 for a, b in ranges]
+            columns[7] += [_bits(hashes[a:b]) for a, b in ranges]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.binary(), pa.binary(), pa.float64(), pa.binary()]
+        out = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "fp", "words", "total", "sig", "df", "least", "bits"])
         release()
         return out
 
     own = grouped.select("chunk", "ids", "fps", "sizes", "texts").groupBy("chunk")
-    schema = "doc_id long, fp long, words binary, total double, sig binary, df binary"
+    schema = "doc_id long, fp long, words binary, total double, sig binary, df binary, least double, bits binary"
     return own.cogroup(found.select("chunk", "slice", "df").groupBy("chunk")).applyInArrow(run, schema)
 
 
@@ -291,38 +301,39 @@ def _with_id_bit(spark: SparkSession, ids: DataFrame, column: str):
     return lambda doc: may_be(F.pmod(F.xxhash64(doc), F.lit(1 << ID_BITS)).cast("int"))
 
 
-def _promising(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (hub, doc) that total weights and samples leave possible."""
-    side = lambda name: reps.select(F.col("doc").alias(name), F.col("total").alias(f"{name}_w"), F.col("sig").alias(f"{name}_sig"))
-    both = pairs.join(side("doc"), "doc").join(side("hub"), "hub")
-    both = both.where(F.least("doc_w", "hub_w") / F.greatest("doc_w", "hub_w") >= similarity - 1e-6)
+def _possible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """Pairs that can reach the similarity by what bitmaps of their shingles tell. None is left out that does."""
 
-    def agree(batches):
+    def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, SAMPLES) for c in ("hub_sig", "doc_sig"))
-            keep = pa.array((a == b).sum(1) >= AGREE)
-            yield pa.RecordBatch.from_arrays([batch.column("hub").filter(keep), batch.column("doc").filter(keep)], names=["hub", "doc"])
+            sides = [list(zip(*(batch.column(f"{n}_{c}").to_pylist() for c in ("bits", "total", "least")))) for n in ("hub", "doc")]
+            keep = pa.array([most_alike(a, b) >= similarity - 1e-6 for a, b in zip(*sides)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in names], names=names)
 
-    return both.select("hub", "doc", "hub_sig", "doc_sig").mapInArrow(tidy(agree), "hub long, doc long")
+    names = pairs.columns
+    side = lambda name: reps.select(F.col("doc").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("bits", "total", "least")])
+    both = join_split(pairs.join(side("doc"), "doc"), side("hub"), "hub", "doc", pairs)
+    both = both.select(*names, *[f"{n}_{c}" for n in ("hub", "doc") for c in ("bits", "total", "least")])
+    return both.mapInArrow(tidy(run), pairs.schema)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, total: float, similarity: float) -> DataFrame:
-    """Pairs whose weighted Jaccard similarity reaches the threshold, from their whole texts."""
+    """``u, v``: the roots of pairs (``hub, doc, hub_root, root``) whose weighted Jaccard similarity, from their whole
+    texts, reaches the threshold. A hub of many pairs is dealt to several groups."""
 
     def run(batches):
-        shingler = Shingler()
         known: dict[int, tuple] = {}
 
         def vector(doc: int, text: str, df: bytes):
             got = known.get(doc)
             if got is None:
-                hashes, counts, _, _ = shingler.of([text])
-                w = counts * shingle_weights(np.frombuffer(zlib.decompress(df), "<i8"), total).astype(np.float64)
+                hashes, counts, _, _ = shingles([text])
+                w = counts * shingle_weights(_counts(df), total).astype(np.float64)
                 got = hashes, w, w.sum()
             return got
 
         for batch in batches:
-            hubs, docs, hub_texts, doc_texts, hub_dfs, doc_dfs = (c.to_pylist() for c in batch.columns)
+            hubs, docs, hub_texts, doc_texts, hub_dfs, doc_dfs = (c.to_pylist() for c in batch.columns[2:])
             keep = np.zeros(len(hubs), bool)
             for k in range(len(hubs)):
                 if hubs[k] not in known:
@@ -333,11 +344,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, total: float, similarity: floa
                 _, i, j = np.intersect1d(h1, h2, assume_unique=True, return_indices=True)
                 shared = np.minimum(w1[i], w2[j]).sum()
                 keep[k] = shared >= similarity * (s1 + s2 - shared) - 1e-9
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in (0, 1)], names=["u", "v"])
 
-    with_doc = pairs.join(texts.select(F.col("doc_id").alias("doc"), F.col("text").alias("doc_text"), F.col("df").alias("doc_df")), "doc")
-    both = with_doc.join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text"), F.col("df").alias("hub_df")), "hub")
-    return both.select("hub", "doc", "hub_text", "doc_text", "hub_df", "doc_df").mapInArrow(tidy(run), "u long, v long")
+    side = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"{name}_text"), F.col("df").alias(f"{name}_df"))
+    both = join_split(pairs.join(side("doc"), "doc"), side("hub"), "hub", "doc", pairs)
+    both = both.select("hub_root", "root", "hub", "doc", "hub_text", "doc_text", "hub_df", "doc_df")
+    return both.mapInArrow(tidy(run), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -357,56 +369,64 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     found = written(frequencies(grouped, slice_bits), "frequencies")
     total = float(found.agg(F.sum("n")).first()[0] or 0)
     signed = written(signatures(grouped, found, total), "signatures")
+    discard(grouped, found)
     rows = signed.count()
     classes = written(
-        signed.groupBy("words").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n"), F.first("total").alias("total"), F.first("sig").alias("sig")),
+        signed.groupBy("words").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("total", "least", "sig", "bits")]),
         "word-classes",
     )
-    reps = classes.where("total > 0").select("doc", "total", "sig")
+    reps = classes.where("total > 0")
     bands = [F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)]
-    entries = reps.select("doc", F.explode(F.array(*bands)).alias("key"))
+    entries = reps.select("doc", "total", F.explode(F.array(*bands)).alias("key"))
     sized = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     n = max(1, rows)
-    members = written(join_groups(entries, sized, ["key"], "size", n).where("size IS NOT NULL").withColumn("hot", F.col("size") > n // 1000).select("key", "doc", "hot"), "members")
+    members = written(join_groups(entries, sized, ["key"], "size", n).where("size IS NOT NULL").withColumn("hot", F.col("size") > n // 1000).select("key", "doc", "total", "hot"), "members")
     may_be = _with_id_bit(spark, members.select("doc"), "doc")
     counted = signed.where(may_be("doc_id")).select("doc_id", "fp", "df").dropDuplicates(["doc_id", "fp"])
     candidates = written(texts.where(may_be("doc_id")).join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(counted, ["doc_id", "fp"]), "candidates")
     roots = members.select(F.col("doc").alias("node"), F.col("doc").alias("root")).distinct()
-    open_ = members.select("key", "doc", "hot", F.col("doc").alias("root"))
+    open_ = members.select("key", "doc", "total", "hot", F.col("doc").alias("root"))
     round_ = 0
     while True:
         slots = 4**round_
         slot = F.pmod(F.xxhash64("doc", F.lit(round_)), F.lit(slots)) if round_ else F.lit(0)
-        hubs = open_.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("doc", "root", "hot")).alias("h")).select("key", "h.*")
-        hubs = written(hubs.select("key", F.col("doc").alias("hub"), F.col("root").alias("hub_root"), "hot"), "hubs")
+        hubs = open_.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("doc", "root", "total", "hot")).alias("h")).select("key", "h.*")
+        hubs = written(hubs.select("key", F.col("doc").alias("hub"), F.col("root").alias("hub_root"), F.col("total").alias("hub_total"), "hot"), "hubs")
         salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc", F.lit(-1)), F.lit(64)).cast("int")).otherwise(0)
         all_salts = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0))))
+        first = F.col("hub") < F.col("doc")
         pairs = (
             open_.withColumn("salt", salt)
-            .join(hubs.select("key", "hub", "hub_root", all_salts.alias("salt")), ["key", "salt"])
+            .join(hubs.select("key", "hub", "hub_root", "hub_total", all_salts.alias("salt")), ["key", "salt"])
             .where("root <> hub_root")
-            .select(F.greatest("hub", "doc").alias("doc"), F.least("hub", "doc").alias("hub"))
+            .where(F.least("total", "hub_total") / F.greatest("total", "hub_total") >= similarity - 1e-6)
+            .select(
+                F.when(first, F.col("hub")).otherwise(F.col("doc")).alias("hub"),
+                F.when(first, F.col("doc")).otherwise(F.col("hub")).alias("doc"),
+                F.when(first, F.col("hub_root")).otherwise(F.col("root")).alias("hub_root"),
+                F.when(first, F.col("root")).otherwise(F.col("hub_root")).alias("root"),
+            )
             .distinct()
         )
-        pairs = written(_promising(pairs, reps, similarity), "pairs")
-        links = written(_verified(pairs, candidates, total, similarity), "links")
-        joined = links.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ur")), "u").join(
-            roots.select(F.col("node").alias("v"), F.col("root").alias("vr")), "v"
-        )
-        merged = components(joined.select(F.col("ur").alias("u"), F.col("vr").alias("v")))
-        merged = merged.select(F.col("node").alias("root"), F.col("root").alias("new"))
-        roots = written(roots.join(merged, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "roots")
+        pairs = written(pairs, "pairs")
+        close = written(_possible(pairs, reps, similarity), "close")
+        links = written(_verified(close, candidates, total, similarity), "links")
+        merged = components(links)
+        sized_roots = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+        merged = merged.select(F.col("node").alias("root"), F.col("root").alias("new")).join(sized_roots, "root")
+        roots, old_roots = written(join_groups(roots, merged, ["root"], "size", n).select("node", F.coalesce("new", "root").alias("root")), "roots"), roots
         left = open_.drop("root").join(hubs.select("key", F.col("hub").alias("doc")), ["key", "doc"], "left_anti")
         left = left.join(roots.select(F.col("node").alias("doc"), "root"), "doc")
         spread = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b").select("key", "size")
-        open_ = written(join_groups(left, spread, ["key"], "size", n).where("size IS NOT NULL").select("key", "doc", "hot", "root"), "open")
+        open_, old_open = written(join_groups(left, spread, ["key"], "size", n).where("size IS NOT NULL").select("key", "doc", "total", "hot", "root"), "open"), open_
+        discard(hubs, pairs, close, links, *[x for x in (old_roots, old_open) if hasattr(x, "_folder")])
         if open_.isEmpty():
             break
         round_ += 1
     named = classes.select("words", "doc", "n").join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left")
     named = named.select("words", "n", F.coalesce("root", "doc").alias("class_id"))
     sizes = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_texts"))
-    named = named.join(sizes, "class_id")
+    named = join_groups(named, sizes, ["class_id"], "class_texts", n)
     out = join_groups(signed.select("doc_id", "words"), named, ["words"], "n", n)
     return out.select("doc_id", "class_id", "class_texts", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import public_tokenizers as P
-from oakmill.llm import bpe, exact_dedup, near_dedup, packing, substring_dedup, token_counts, toxicity
+from oakmill.llm import bpe, common, exact_dedup, near_dedup, packing, substring_dedup, token_counts, toxicity
 from oakmill.llm.components import components
 from oakmill.llm.cqf import CountingQuotientFilter
 
@@ -311,13 +311,32 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def near_links(texts, similarity=0.8):
+    """Pairs of texts at least so alike, from the definition: tuples of words, exact frequencies, no hashing and none of the
+    operator's code."""
+    own = []
+    for t in texts:
+        w = t.lower().split()
+        own.append(Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter())
+    df = Counter(s for c in own for s in c)
+    total = max(2.0, float(sum(df.values())))
+    weight = {s: np.float64(np.float32(1 + np.log(total / n) / np.log(total))) for s, n in df.items()}
+    weighted = [{s: n * weight[s] for s, n in c.items()} for c in own]
+    sums = [sum(w.values()) for w in weighted]
+    having: dict = {}
+    links = set()
+    for k, w in enumerate(weighted):
+        shared: Counter = Counter()
+        for s, x in w.items():
+            for j in having.get(s, ()):
+                shared[j] += min(x, weighted[j][s])
+            having.setdefault(s, []).append(k)
+        links |= {(j, k) for j, x in shared.items() if x >= similarity * (sums[j] + sums[k] - x) - 1e-9}
+    return links
+
+
 def near_by_force(rows):
-    shingler = near_dedup.Shingler()
     texts = [t or "" for _, t in rows]
-    hashes, counts, starts, _ = shingler.of(texts)
-    weights = near_dedup.bucket_weights(np.bincount(near_dedup._bucket(hashes), minlength=1 << near_dedup.BUCKETS_LOG2))
-    w = counts * weights[near_dedup._bucket(hashes)].astype(float)
-    vectors = [dict(zip(hashes[a:b].tolist(), w[a:b].tolist())) for a, b in zip(starts, starts[1:])]
     root = list(range(len(rows)))
 
     def find(x):
@@ -325,20 +344,35 @@ def near_by_force(rows):
             x = root[x]
         return x
 
-    for i in range(len(rows)):
-        for j in range(i):
-            a, b = vectors[i], vectors[j]
-            shared = sum(min(a[h], b[h]) for h in a.keys() & b.keys())
-            total = sum(a.values()) + sum(b.values()) - shared
-            if (total and shared >= 0.8 * total - 1e-9) or texts[i] == texts[j]:
-                x, y = find(i), find(j)
-                root[max(x, y)] = min(x, y)
+    first: dict = {}
+    same = {(first.setdefault(t, k), k) for k, t in enumerate(texts)}
+    for j, k in near_links(texts) | same:
+        x, y = find(j), find(k)
+        root[max(x, y)] = min(x, y)
     least: dict = {}
     for k, (d, _) in enumerate(rows):
         least[find(k)] = min(d, least.get(find(k), d))
     return {(d, least[find(k)]) for k, (d, _) in enumerate(rows)}
 
 
+def test_near_links_of_a_table_are_found(spark):
+    """Recall and precision of links over a whole table, by a brute force of its own."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id")
+    rows = [(r[0], r[1] or "") for r in docs.collect()]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    links = near_links([t for _, t in rows])
+    found = sum(got[rows[j][0]] == got[rows[k][0]] for j, k in links)
+    assert len(links) > 20 and found >= 0.99 * len(links)
+    want: dict = {}
+    for d, c in near_by_force(rows):
+        want.setdefault(c, set()).add(d)
+    whole = {d: c for c, ds in want.items() for d in ds}
+    mine: dict = {}
+    for d, c in got.items():
+        mine.setdefault(c, set()).add(whole[d])
+    assert all(len(c) == 1 for c in mine.values())  # no class joins what the definition parts
+
+
 def test_near_duplicates_are_those_of_brute_force(spark):
     rng = np.random.default_rng(5)
     rows = []
@@ -357,6 +391,34 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 300), min_size=1, max_size=200), st.lists(st.integers(0, 300), min_size=1, max_size=200), st.integers(0, 9))
+def test_bitmaps_never_rule_out_what_is_alike(a, b, seed):
+    """The bound is at least the weighted Jaccard similarity, for texts of any two sizes."""
+    rng = np.random.default_rng(seed)
+    hashes, weight = rng.integers(0, 2**63, 301).astype(np.uint64), rng.uniform(1, 2, 301)
+    x, y = Counter(a), Counter(b)
+    shared = sum(min(x[k], y[k]) * weight[k] for k in x.keys() & y.keys())
+    sums = [sum(n * weight[k] for k, n in c.items()) for c in (x, y)]
+    sides = [(near_dedup._bits(hashes[sorted(c)]), s, min(n * weight[k] for k, n in c.items())) for c, s in zip((x, y), sums)]
+    assert near_dedup.most_alike(*sides) >= shared / (sum(sums) - shared) - 1e-9
+
+
+def test_bitmaps_rule_out_what_is_not_alike():
+    rng = np.random.default_rng(0)
+    h = rng.integers(0, 2**63, 900).astype(np.uint64)
+    side = lambda own: (near_dedup._bits(own), 2.0 * len(own), 2.0)
+    assert near_dedup.most_alike(side(h[:500]), side(h[:500])) == 1
+    assert near_dedup.most_alike(side(h[:500]), side(h[200:700])) < 0.6 and near_dedup.most_alike(side(h[:450]), side(h[450:])) < 0.3
+
+
+def test_a_split_join_is_a_join(spark):
+    rows = spark.range(5000).selectExpr("id AS doc", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 50 END AS hub")
+    side = spark.range(60).selectExpr("id AS hub", "concat('text ', id) AS words")
+    got = common.join_split(rows, side, "hub", "doc", rows, share=10, least=1)
+    assert sorted(map(tuple, got.select("doc", "hub", "words").collect())) == [(d, h, f"text {h}") for d in range(5000) for h in [7 if d % 3 == 0 else d % 50]]
+
+
 def test_samples_agree_as_often_as_weighted_jaccard():
     rng = np.random.default_rng(0)
     h = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))
@@ -373,8 +435,7 @@ def test_near_duplicates_of_awkward_rows(spark, awkward, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
-def test_near_duplicates_count_each_shingle(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BUCKETS_LOG2", 1)  # as loaded as a table of fixed size gets when data grow
+def test_near_duplicates_count_each_shingle(spark):
     common, own = " ".join(f"c{k}" for k in range(100)), " ".join(f"o{k}" for k in range(100))
     near = [(1, f"{own} {common} x1 x2 x3 x4 x5 x6 x7 x8 x9 x10 x11 x12 x13 x14"), (2, f"{own} {common} y1 y2 y3 y4 y5 y6 y7 y8 y9 y10 y11 y12 y13 y14")]
     rows = near + [(k, f"{common} " + " ".join(f"r{k}_{i}" for i in range(300))) for k in range(10, 210)]
@@ -383,11 +444,10 @@ def test_near_duplicates_count_each_shingle(spark, monkeypatch):
     found = near_dedup.frequencies(grouped, 3)
     total = float(found.agg(F.sum("n")).first()[0])
     signed = near_dedup.signatures(grouped, found, total).collect()
-    shingler = near_dedup.Shingler()
-    hashes = {d: shingler.of([t])[0] for d, t in rows}
+    hashes = {d: near_dedup.shingles([t])[0] for d, t in rows}
     exact = Counter(h for own in hashes.values() for h in own.tolist())
     assert total == sum(exact.values())
-    assert {r["doc_id"]: np.frombuffer(zlib.decompress(r["df"]), "<i8").tolist() for r in signed} == {d: [exact[h] for h in own.tolist()] for d, own in hashes.items()}
+    assert {r["doc_id"]: near_dedup._counts(r["df"]).tolist() for r in signed} == {d: [exact[h] for h in own.tolist()] for d, own in hashes.items()}
     a, b = (dict(zip(hashes[d].tolist(), near_dedup.shingle_weights(np.array([exact[h] for h in hashes[d].tolist()]), total).astype(float))) for d in (1, 2))
     shared = sum(a[h] for h in a.keys() & b.keys())
     alike = shared / (sum(a.values()) + sum(b.values()) - shared)
