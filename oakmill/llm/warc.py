@@ -2,8 +2,9 @@
 
 Pages become WARC response records, laid out in files of ``PER_FILE`` consecutive page ids. A leaf hashes a
 record's place (file, offset, length) and bytes; an inner node hashes its up to ``FANOUT`` children in order, so it
-stands for an ordered range of offsets. A node is named by its level and the page id divided by ``FANOUT ** level``:
-the same range in every replica, whichever records one has lost.
+stands for an ordered range of offsets. A node is named by its level and the page id (counted from the least 64-bit
+number, so that negative ids come first) divided by ``FANOUT ** level``: the same range in every replica, whichever
+records one has lost. After 16 levels at most all ids are under one root.
 
 An audit compares the roots and descends: a level's nodes are compared only below nodes that differ one level up.
 Two intact replicas cost one comparison of roots; damage costs its branches.
@@ -12,10 +13,11 @@ Two intact replicas cost one comparison of roots; damage costs its branches.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
+import uuid
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,16 @@ FANOUT_BITS = 4
 FANOUT = 1 << FANOUT_BITS
 PER_FILE = 256
 CRLF = "\r\n"
+LEAST = -(1 << 63)
+
+
+def _file_of(per_file: int):
+    """Column: the number of the file that holds a page, rounded down; in whole numbers, as ids may be any 64-bit ones."""
+    return F.expr(f"page_id div {per_file} - CASE WHEN page_id % {per_file} < 0 THEN 1 ELSE 0 END").cast("long")
+
+
+def _above(node: str = "node"):
+    return F.shiftrightunsigned(node, FANOUT_BITS)
 
 
 def record_bytes(page_id, url, html):
@@ -56,7 +68,7 @@ def leaves(recs: DataFrame, per_file: int = PER_FILE) -> DataFrame:
     shuffled; a file has few ids, so its window is small.
     """
     hashed = recs.select(
-        "page_id", F.floor(F.col("page_id") / per_file).cast("long").alias("file_id"), F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha256")
+        "page_id", _file_of(per_file).alias("file_id"), F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha256")
     ).distinct()
     before = Window.partitionBy("file_id").orderBy("page_id", "sha256").rowsBetween(Window.unboundedPreceding, -1)
     placed = hashed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
@@ -66,12 +78,12 @@ def leaves(recs: DataFrame, per_file: int = PER_FILE) -> DataFrame:
 
 
 def levels(leaf: DataFrame) -> list[DataFrame]:
-    """Merkle levels from the leaves (``node, digest``) to one root, each written once."""
-    start = leaf.groupBy(F.col("page_id").alias("node")).agg(F.sha2(F.array_join(F.sort_array(F.collect_set("digest")), ""), 256).alias("digest"))
+    """Merkle levels from the leaves (``node, digest``) to one root, each written once; any 64-bit ids."""
+    start = leaf.groupBy(F.col("page_id").bitwiseXOR(F.lit(LEAST)).alias("node")).agg(F.sha2(F.array_join(F.sort_array(F.collect_set("digest")), ""), 256).alias("digest"))
     out = [written(start, "merkle-0")]
     while out[-1].limit(2).count() > 1:
         child = F.struct("node", "digest")
-        up = out[-1].groupBy(F.shiftright("node", FANOUT_BITS).alias("up")).agg(F.sort_array(F.collect_list(child)).alias("children"))
+        up = out[-1].groupBy(_above().alias("up")).agg(F.sort_array(F.collect_list(child)).alias("children"))
         digest = F.sha2(F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["node"].cast("string"), c["digest"])), ";"), 256)
         out.append(written(up.select(F.col("up").alias("node"), digest.alias("digest")), f"merkle-{len(out)}"))
     return out
@@ -82,7 +94,7 @@ def _lifted(tree: list[DataFrame], height: int) -> list[DataFrame]:
     while len(tree) < height:
         top = tree[-1]
         digest = F.sha2(F.concat_ws(":", F.col("node").cast("string"), "digest"), 256)
-        tree = [*tree, top.select(F.shiftright("node", FANOUT_BITS).alias("node"), digest.alias("digest"))]
+        tree = [*tree, top.select(_above().alias("node"), digest.alias("digest"))]
     return tree
 
 
@@ -95,13 +107,12 @@ def differing(left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
     for level in range(height - 1, -1, -1):
         a, b = left[level].withColumnRenamed("digest", "a"), right[level].withColumnRenamed("digest", "b")
         if under is not None:
-            parent = F.shiftright("node", FANOUT_BITS)
-            a, b = (x.join(under, parent == F.col("parent"), "left_semi") for x in (a, b))
+            a, b = (x.join(under, _above() == F.col("parent"), "left_semi") for x in (a, b))
         found = a.join(b, "node", "full").where(~F.col("a").eqNullSafe(F.col("b")))
         under = written(found.select(F.col("node").alias("parent"), F.col("a").isNotNull().alias("in_left"), F.col("b").isNotNull().alias("in_right")), "differing")
         if under.isEmpty():
             break
-    return under.select(F.col("parent").alias("page_id"), "in_left", "in_right")
+    return under.select(F.col("parent").bitwiseXOR(F.lit(LEAST)).alias("page_id"), "in_left", "in_right")
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
@@ -135,22 +146,24 @@ def damaged(recs: DataFrame) -> DataFrame:
 
 
 def write_warc(recs: DataFrame, folder: str, per_file: int = PER_FILE) -> DataFrame:
-    """Writes files ``<file_id>.warc`` to a folder that all executors share; gives ``file_id, path, bytes``.
+    """Writes files ``<file_id>.warc`` to a folder that all executors share (an absolute path or the URI of a file system or
+    object store); gives ``file_id, path, bytes``.
 
     One task writes a file at a time from records sorted by id, under a name of its own, and renames it when it is
     whole, so a repeated task does no harm.
     """
 
     def run(batches):
-        os.makedirs(folder, exist_ok=True)
-        now, file, last, done = None, None, None, []
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        now, stream, last, done = None, None, None, []
+        part, size = "", 0
 
         def close():
-            if file is not None:
-                file.close()
-                path = os.path.join(folder, f"{now}.warc")
-                os.replace(file.name, path)
-                done.append((now, path, os.path.getsize(path)))
+            if stream is not None:
+                stream.close()
+                files.move(part, f"{root}/{now}.warc")
+                done.append((now, f"{root}/{now}.warc", size))
 
         for batch in batches:
             for file_id, page, record in zip(*(c.to_pylist() for c in batch.columns)):
@@ -159,13 +172,15 @@ def write_warc(recs: DataFrame, folder: str, per_file: int = PER_FILE) -> DataFr
                 last = page, record
                 if file_id != now:
                     close()
-                    now, file = file_id, open(os.path.join(folder, f".{file_id}.{os.getpid()}"), "wb")
-                file.write(record)
+                    now, part, size = file_id, f"{root}/.{file_id}.{uuid.uuid4().hex}", 0
+                    stream = files.open_output_stream(part)
+                stream.write(record)
+                size += len(record)
         close()
         if done:
             yield pa.RecordBatch.from_pydict({k: [d[i] for d in done] for i, k in enumerate(("file_id", "path", "bytes"))})
 
-    named = recs.select(F.floor(F.col("page_id") / per_file).cast("long").alias("file_id"), "page_id", "record")
+    named = recs.select(_file_of(per_file).alias("file_id"), "page_id", "record")
     ordered = named.repartition("file_id").sortWithinPartitions("file_id", "page_id", F.sha2("record", 256))
     return ordered.mapInArrow(run, "file_id long, path string, bytes long")
 
@@ -196,7 +211,8 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold one copy of each page, so the second replica is made here, with planted damage."""
+    """``audit`` of all pages against a second replica, which is made here with planted damage, as the tables hold one
+    copy of each page. Null url and html count as empty, rows without an id are left out, repeated records count once."""
     recs = records(table(spark, sf_dir, "pages"))
     return audit(recs, damaged(recs))
 
