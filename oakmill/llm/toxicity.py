@@ -6,10 +6,11 @@ Three layers of finite-state machines:
   (with a weight), target, negation, reported speech. Short seed lists in four languages give the
   closed-class symbols; insult terms, whole words or word beginnings, and all their weights are learned
   from labelled texts as smoothed log-odds.
-* a *clause machine*, the product (``compose``) of a target, a negation and a reported-speech
-  transducer, reads the symbols of one clause. At an insult or threat its state says which channel the
-  weight goes to: aimed at a target, plain, negated or reported. Clause marks reset it, a long gap
-  resets negation.
+* a *clause machine*, the product (``compose``) of an insult, a threat, a target, a negation and a reported-speech
+  transducer, reads the symbols of one clause. At an insult or threat its state says whether the weight is negated,
+  reported or open; at the clause's end its state says whether the clause matched (an insult or a threat) and whether
+  what is open is aimed at a target, named before or after it, or plain. A threat without a target counts a
+  fifth. Clause marks reset the machine, a long gap resets negation.
 * a *document score*: each clause's weight saturates by channel, the channels are summed over clauses, and
   a logistic model fitted to the same labelled texts (cross-fitted: terms of one half score the other)
   weighs the channels.
@@ -68,7 +69,9 @@ def _switch(on: int, off: tuple[int, ...]) -> Machine:
     return Machine((row(0), row(1)))
 
 
-TARGETS, NEGATIONS, REPORTS = _switch(TARGET, (END,)), _switch(NEGATION, (FAR, END)), _switch(REPORT, (END,))
+INSULTS, THREATS, TARGETS, REPORTS = (_switch(x, (END,)) for x in (INSULT, THREAT, TARGET, REPORT))
+NEGATIONS = _switch(NEGATION, (FAR, END))
+IDLE_THREAT = 0.2
 
 
 def compose(*machines: Machine) -> tuple[np.ndarray, list[tuple[int, ...]]]:
@@ -79,24 +82,50 @@ def compose(*machines: Machine) -> tuple[np.ndarray, list[tuple[int, ...]]]:
     return np.array(step), states
 
 
-STEP, STATES = compose(TARGETS, NEGATIONS, REPORTS)
-CHANNEL = [2 if neg else 3 if rep else 0 if aim else 1 for aim, neg, rep in STATES]
+STEP, STATES = compose(INSULTS, THREATS, TARGETS, NEGATIONS, REPORTS)
+#: By state: where a weight goes that is read there, and what the clause is at its end.
+OPEN = CHANNELS.index("plain")
+CHANNEL = [2 if negated else 3 if reported else OPEN for _, _, _, negated, reported in STATES]
+MATCHED = [bool(insult or threat) for insult, threat, *_ in STATES]
+AIMED = [bool(state[2]) for state in STATES]
 _STEP = STEP.tolist()
 
 
 class Terms:
-    """The term transducer: whole words and word beginnings with a symbol and a weight."""
+    """The term transducer: a trie whose nodes hold the weight of a word beginning and the symbol of a whole word."""
 
     def __init__(self, whole: dict[str, tuple[int, float]], beginnings: dict[str, float]):
         self.whole, self.beginnings = whole, beginnings
-        self.shortest = min(map(len, beginnings), default=1)
-        self.longest = max(map(len, beginnings), default=0)
+        self.steps: list[dict[str, int]] = [{}]
+        self.begun, self.ended = [0.0], [None]
+        for start, weight in beginnings.items():
+            self.begun[self._node(start)] = weight
+        for word, hit in whole.items():
+            self.ended[self._node(word)] = hit
+
+    def _node(self, text: str) -> int:
+        at = 0
+        for letter in text:
+            if letter not in self.steps[at]:
+                self.steps[at][letter] = len(self.steps)
+                self.steps.append({})
+                self.begun.append(0.0)
+                self.ended.append(None)
+            at = self.steps[at][letter]
+        return at
 
     def of(self, word: str) -> tuple[int, float] | None:
-        found = self.whole.get(word)
-        weight = found[1] if found and found[0] == INSULT else 0.0
-        for n in range(self.shortest, min(len(word), self.longest) + 1):
-            weight = max(weight, self.beginnings.get(word[:n], 0.0))
+        """The symbol and weight of a word, in one walk: the heaviest insult it is or begins with, else its symbol."""
+        at, weight, found = 0, 0.0, None
+        for letter in word:
+            at = self.steps[at].get(letter)
+            if at is None:
+                break
+            weight = max(weight, self.begun[at])
+        else:
+            found = self.ended[at]
+        if found and found[0] == INSULT:
+            weight = max(weight, found[1])
         return (INSULT, weight) if weight else found
 
     @classmethod
@@ -159,15 +188,19 @@ class Reader:
         if not any(s[0] <= THREAT for c in codes for s in kinds[c][0]):
             return [0.0] * (len(CHANNELS) + 3)
         total, matched, terms = [0.0] * len(CHANNELS), 0, set()
-        state, now, before, held = 0, clauses[0], places[0], [0.0] * len(CHANNELS)
+        state, now, before = 0, clauses[0], places[0]
+        insults, threats = [0.0] * len(CHANNELS), [0.0] * len(CHANNELS)
 
         def close() -> None:
-            nonlocal matched, held
-            if any(held):
+            nonlocal matched, insults, threats
+            if MATCHED[state]:
                 matched += 1
-                for i, w in enumerate(held):
+                sums = [i + IDLE_THREAT * t for i, t in zip(insults, threats)]
+                if AIMED[state]:
+                    sums[0], sums[OPEN] = insults[OPEN] + threats[OPEN], 0.0
+                for i, w in enumerate(sums):
                     total[i] += min(w, 8.0)
-                held = [0.0] * len(CHANNELS)
+                insults, threats = [0.0] * len(CHANNELS), [0.0] * len(CHANNELS)
 
         for place, code, clause in zip(places, codes, clauses):
             if clause != now:
@@ -178,11 +211,10 @@ class Reader:
             before = place
             for symbol, weight, word in kinds[code][0]:
                 if symbol == INSULT:
-                    held[CHANNEL[state]] += weight
+                    insults[CHANNEL[state]] += weight
                     terms.add(word)
                 elif symbol == THREAT:
-                    channel = CHANNEL[state]
-                    held[channel] += weight if channel == 0 else 0.2 * weight
+                    threats[CHANNEL[state]] += weight
                 state = _STEP[state][symbol]
         close()
         values = [*total, matched, len(terms), 1000 * sum(total) / size]
@@ -305,7 +337,7 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on labelled rows outside the held-out third: at most ``TOXIC_TEXTS`` and ``CLEAN_TEXTS`` of them,
     least hashes of the id first. A row with a null id or label is not used; of several labels of an id
-    the largest counts."""
+    the largest counts, of several texts the least."""
     marked = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
@@ -317,7 +349,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         part = marked.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         pick = part if pick is None else pick.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    rows = texts.join(F.broadcast(pick), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    rows = texts.join(F.broadcast(pick), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def one(batches):
         data = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
@@ -372,5 +404,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores all documents with a model fitted to the labels outside the held-out third. A null or empty text has the score
+    of a text without matches; a repeated row has its twin's score; other columns than doc_id and text are ignored."""
     docs = table(spark, sf_dir, "documents")
     return scored(docs, train(docs, table(spark, sf_dir, "labels")))
