@@ -7,7 +7,8 @@ first-level passages come from (the later one on a tie). Chains of replies are f
 
 Linking is an as-of join by (conversation, hash). It runs in blocks of turns: the latest turn within a block by a
 window, the latest of earlier blocks from one row for each block, so neither a line that everybody writes nor one
-huge conversation makes a hot group. Positions come from a range sort of all messages with the parts' counts.
+huge conversation makes a hot group. Joins by conversation, by line or by the message that is replied to broadcast
+the keys with more than a thousandth of all rows (fewer than a thousand of them) and shuffle the rest. Positions come from a range sort of all messages with the parts' counts.
 """
 
 from __future__ import annotations
@@ -41,6 +42,13 @@ def without_quotes(text):
     return F.when(F.size(kept) == F.size(lines), text).otherwise(F.regexp_replace(joined, r"^\s+|\s+$", ""))
 
 
+def _joined(rows: DataFrame, side: DataFrame, keys: list[str], total: int, semi: bool = False) -> DataFrame:
+    """``rows`` joined (left or semi) to ``side`` (unique keys), no key being hot however many rows have it."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    out = join_groups(rows, side.join(sizes, keys), keys, "__n", total)
+    return (out.where("__n IS NOT NULL") if semi else out).drop("__n")
+
+
 def linked(messages: DataFrame) -> DataFrame:
     """``conv_id, turn, role, text`` (without quotes), ``reply_to, thread_root, depth, position, n_quoted, n_linked,
     max_level`` of every message.
@@ -60,9 +68,11 @@ def linked(messages: DataFrame) -> DataFrame:
     quoted = quoted.where("level > 0").withColumn("h", F.xxhash64(_normal(F.regexp_replace("line", MARKS, ""))))
     quoted = quoted.where(_normal(F.regexp_replace("line", MARKS, "")) != "")
     quoted = written(quoted.groupBy("conv_id", "turn", "h").agg(F.min("level").alias("level"), F.max("level").alias("deepest")), "quoted")
-    own = base.join(quoted.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.explode(F.split("raw", "\n", -1)).alias("line"))
+    total = max(1, base.count())
+    own = _joined(base, quoted.select("conv_id").distinct(), ["conv_id"], total, semi=True).select("conv_id", "turn", F.explode(F.split("raw", "\n", -1)).alias("line"))
     own = own.where((_level("line") == 0) & F.col("turn").isNotNull()).select("conv_id", "turn", F.xxhash64(_normal("line")).alias("h"))
-    own = own.join(quoted.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi").distinct()
+    own = written(own.distinct(), "own-lines")
+    own = _joined(own, quoted.select("conv_id", "h").distinct(), ["conv_id", "h"], max(1, own.count()), semi=True)
     block = F.floor(F.col("turn") / BLOCK)
     both = written(
         own.withColumn("own", F.lit(True)).unionByName(quoted.select("conv_id", "turn", "h").withColumn("own", F.lit(False))).withColumn("block", block),
@@ -84,7 +94,7 @@ def linked(messages: DataFrame) -> DataFrame:
     links = written(parents.select("conv_id", "turn", "reply_to", F.col("reply_to").alias("root"), F.lit(1).alias("depth")), "replies")
     while True:
         on = links.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        step = links.join(on, ["conv_id", "root"], "left")
+        step = _joined(links, on, ["conv_id", "root"], total)
         if step.where("next IS NOT NULL").isEmpty():
             break
         links = written(
@@ -114,6 +124,8 @@ def linked(messages: DataFrame) -> DataFrame:
 
 
 def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``linked`` over all conversations: null texts count as empty, a null conversation or turn links to nothing, repeated
+    messages are a row each, an empty table gives no rows, other columns are ignored."""
     return linked(table(spark, sf_dir, "conversations"))
 
 
