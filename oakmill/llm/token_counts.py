@@ -7,8 +7,10 @@ one walk over a text gives the last piece and the count at *every* prefix, from
 budget questions are read off without encoding again. Characters without a piece count their bytes and
 part what is around them.
 
-Pieces have a word mark at their start only, so words are independent; a worker keeps the counts of words
-seen in a bounded table.
+Pieces have a word mark at their start only, so words are independent; a worker keeps the counts at every prefix of the
+words seen, in a table bounded in words and in letters (longer words are walked each time). A text's count is the sum
+of its words' last counts; where a text has to be cut to keep a limit is read off the counts before the word that
+crosses it and the stored prefixes of that word.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from oakmill.llm.bpe import groups_of
 from oakmill.llm.common import table, tidy, whole_text
 
 MARK = "▁"
-TABLE_WORDS = 600_000
+TABLE_WORDS, TABLE_LETTERS, WORD_LETTERS = 600_000, 12_000_000, 200
 TABLE_PAIRS = 1_500_000
 LIMIT = 4096
 
@@ -49,7 +51,14 @@ class PrefixCounter:
             raise ValueError("this model changes white space")
         self.sound: dict[str, bool] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        """The table: a number for each word, the count of each whole word by number, and those at its prefixes."""
         self.words: dict[str, int] = {}
+        self.whole = np.zeros(0, np.int64)
+        self.at: list[bytes] = []
+        self.letters = 0
 
     @classmethod
     @functools.lru_cache(maxsize=1)
@@ -113,11 +122,10 @@ class PrefixCounter:
             total += own[-1]
         return [0, *counts[2:]]  # the mark before the text is no prefix of it
 
-    def counts(self, texts: list[str]) -> np.ndarray:
-        """Token count of each text, word by word."""
-        if len(self.words) > TABLE_WORDS:
-            self.words.clear()
-        out = np.zeros(len(texts), np.int64)
+    def counts(self, texts: list[str], limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Token count of each text, and how many characters of it, at most, encode to ``limit`` tokens."""
+        if len(self.words) > TABLE_WORDS or self.letters > TABLE_LETTERS:
+            self._clear()
         words: list[str] = []
         sizes = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
@@ -126,19 +134,45 @@ class PrefixCounter:
                 own = [w[1:] for w in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))] if text else []
             words += own
             sizes[k] = len(own)
-        known = self.words
-        found = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(found < 0).tolist()
-        for word in set(map(words.__getitem__, missing)):
-            known[word] = self.walk(MARK + word)[-1]
-        found[missing] = [known[words[k]] for k in missing]
+        place = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(place < 0).tolist()
+        long: dict[str, list[int]] = {}
+        new = []
+        for word in dict.fromkeys(map(words.__getitem__, missing)):
+            own = self.walk(MARK + word)
+            if len(word) > WORD_LETTERS:
+                long[word] = own
+            else:
+                self.words[word] = len(self.at)
+                self.at.append(np.array(own, "<u2").tobytes())
+                self.letters += len(word)
+                new.append(own[-1])
+        self.whole = np.concatenate([self.whole, np.array(new, np.int64)])
+        place[missing] = [self.words.get(words[k], -1) for k in missing]
+        found = self.whole[place] if len(self.whole) else np.zeros(len(words), np.int64)
+        for k in missing if long else ():
+            if words[k] in long:
+                found[k] = long[words[k]][-1]
+        starts = np.cumsum(sizes) - sizes
+        out = np.zeros(len(texts), np.int64)
         full = sizes > 0
-        out[full] = np.add.reduceat(found, (np.cumsum(sizes) - sizes)[full]) if full.any() else 0
-        return out
+        out[full] = np.add.reduceat(found, starts[full]) if full.any() else 0
+        within = np.fromiter(map(len, texts), np.int64, len(texts))
+        for k in np.flatnonzero(out > limit).tolist() if limit is not None else ():
+            a, b = int(starts[k]), int(starts[k] + sizes[k])
+            before = np.cumsum(found[a:b]) - found[a:b]
+            last = int(np.searchsorted(before, limit, side="right")) - 1
+            word = words[a + last]
+            own = long.get(word) or np.frombuffer(self.at[self.words[word]], "<u2").tolist()
+            fits = max(i for i, c in enumerate(own) if before[last] + c <= limit)
+            first = sum(len(w) + 1 for w in words[a : a + last]) - 1  # the mark before the text is no character
+            within[k] = max(0, first + fits)
+        return out, within
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, over_limit`` of each whole text.
+    """``doc_id, n_bytes, n_tokens, over_limit`` of each whole text, and ``limit_chars``: how many of its characters, at
+    most, encode to ``limit`` tokens (all of them, if the text isn't over the limit).
 
     A null text counts as the empty one: no bytes, no tokens. Rows stand for themselves. Other columns of
     ``docs`` are ignored.
@@ -149,20 +183,21 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT, id_col: str =
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in groups_of(texts):
-                n = np.concatenate([counter.counts(texts[a:b])])
+                n, within = counter.counts(texts[a:b], limit)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
                         batch.column(2).slice(a, b - a),
                         pa.array(n),
                         pa.array(n > limit),
+                        pa.array(within),
                     ],
-                    names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
+                    names=["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"],
                 )
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     named = named.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    return named.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return named.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")
 
 
 def prefix_table(docs: DataFrame, model: str) -> DataFrame:
@@ -194,6 +229,8 @@ def tokens_at(chars):
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``token_counts`` of all documents: a null text is the empty one, repeated rows stand for themselves, other columns are
+    ignored, an empty table gives no rows."""
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
