@@ -42,22 +42,49 @@ def test_top_k_of_nothing(spark):
     assert topk.top_k(one, F.col("vec_id") % 10 == 0).count() == 0
 
 
-def test_bounds_leave_candidates_out():
+def clusters(n=20, each=50):
     rng = np.random.default_rng(0)
-    centres = rng.normal(size=(20, 4)) * 1000
-    vectors = np.concatenate([c + rng.normal(size=(50, 4)) for c in centres]).astype(np.int64)
-    pivots = topk._farthest_first(vectors.astype(float), 20)
-    table = topk._distances(vectors.astype(float), pivots)
-    seen = []
+    centres = rng.normal(size=(n, 4)) * 1000
+    return np.concatenate([c + rng.normal(size=(each, 4)) * 5 for c in centres]).astype(np.int64)
 
-    class Counting(np.ndarray):
-        def __getitem__(self, key):
-            seen.append(np.size(key))
-            return np.asarray(super().__getitem__(key))
 
-    ((score, at),) = topk.search_block(vectors[:1], table[:1], vectors, table, lambda q: np.arange(1000) == 0, 5)
-    want = sorted((-int(vectors[0] @ v), k) for k, v in enumerate(vectors) if k)[:5]
-    assert [(-s, a) for s, a in zip(score.tolist(), at.tolist())] == want
+def test_bounds_leave_candidates_out():
+    """Where vectors lie in clusters most of them are never evaluated, nor is anything below a score known before."""
+    vectors = clusters()
+    pivots = topk._farthest_first(vectors.astype(float), 20)
+    table = topk._distances(vectors.astype(float), pivots)
+    evaluated = []
+    for q in range(0, 1000, 50):
+        ((score, at, n),) = topk.search_block(vectors[q : q + 1], table[q : q + 1], vectors, table, lambda _: np.arange(1000) == q, 5)
+        want = sorted((-int(vectors[q] @ v), k) for k, v in enumerate(vectors) if k != q)[:5]
+        assert [(-s, a) for s, a in zip(score.tolist(), at.tolist())] == want
+        evaluated.append(n)
+        ((again, _, fewer),) = topk.search_block(vectors[q : q + 1], table[q : q + 1], vectors, table, lambda _: np.arange(1000) == q, 5, least=[float(score[-1])])
+        assert fewer <= n and set(again.tolist()) >= set(score.tolist())
+    assert sum(evaluated) < 0.5 * 20 * 1000
+
+
+def test_cells_are_left_out_and_never_wrongly():
+    vectors = clusters().astype(float)
+    pivots = topk._farthest_first(vectors, 20)
+    table = topk._distances(vectors, pivots)
+    cell, norms = table.argmin(1), (vectors**2).sum(1)
+    own = [np.flatnonzero(cell == c) for c in range(len(pivots))]
+    low, high = (np.array([f(table[k], axis=0) for k in own]) for f in (np.min, np.max))
+    most, skipped = np.array([norms[k].max() for k in own]), 0
+    for q in range(0, 1000, 50):
+        bound = topk.cell_bounds(table[q], norms[q], low, high, most)
+        assert all(bound[c] >= (vectors[k] @ vectors[q]).max() for c, k in enumerate(own))
+        skipped += (bound < sorted(vectors @ vectors[q])[-6]).sum()
+    assert skipped > 0.2 * 20 * len(own)
+
+
+def test_top_k_of_long_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=5000).tolist()) for i in range(30)] + [(40, rng.normal(size=20_000).tolist()), (50, rng.normal(size=20_000).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 10 == 0, k=3).collect()
+    assert {tuple(r) for r in got} == best_by_force(rows, lambda i: i % 10 == 0, 3)
 
 
 # -- WARC
@@ -94,6 +121,18 @@ def test_only_differing_branches_are_read(spark, pages):
     assert min(r["page_id"] for r in bad.collect()) == 77 and max(r["page_id"] for r in bad.collect()) < 256
 
 
+def test_any_ids(spark):
+    """Negative, mixed and extreme ids end in one root, and damage is found among them."""
+    ids = [-(1 << 63), -(1 << 63) + 1, -300, -3, -1, 0, 5, 255, 256, 2**53 + 1, 2**53 + 3, (1 << 63) - 1]
+    pages = spark.createDataFrame([(i, f"u{i}", f"h{i}") for i in ids], "page_id long, url string, html string")
+    recs = warc.records(pages)
+    assert {(r["page_id"], r["file_id"]) for r in warc.leaves(recs).collect()} == {(i, i // warc.PER_FILE) for i in ids}
+    assert len(warc.levels(warc.leaves(recs))) <= 17
+    other = recs.where("page_id <> 5").select("page_id", F.when(F.col("page_id") == -3, F.lit(b"x")).otherwise(F.col("record")).alias("record"))
+    got = {r["page_id"]: r["status"] for r in warc.audit(recs, other).collect()}
+    assert set(got) == set(ids) and got[-3] == "altered" and got[5] == "missing" and got[-300] == got[(1 << 63) - 1] == got[-(1 << 63)] == "intact"
+
+
 def test_empty_replicas(pages):
     recs = warc.records(pages)
     nothing = recs.where("false")
@@ -165,6 +204,12 @@ def test_replies_are_those_of_sql(spark):
     assert norm(got) == norm(want)
 
 
+def test_many_replies_to_one_message(spark):
+    df = spark.range(2000).selectExpr("7L AS conv_id", "id AS turn", "'user' AS role", "CASE WHEN id = 0 THEN 'first words' ELSE concat('> first words\n', 'mine ', id) END AS text")
+    got = quotes.linked(df)
+    assert got.where("turn > 0 AND reply_to = 0 AND depth = 1 AND thread_root = 0").count() == 1999
+
+
 def test_replies_of_awkward_rows(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert quotes.linked(empty).count() == 0

@@ -118,6 +118,24 @@ def test_token_counts(spark, awkward, nothing):
     assert token_counts.token_counts(nothing, path).count() == 0
 
 
+@pytest.mark.parametrize("letters", [200, 3])
+def test_cuts_are_those_of_all_prefixes(monkeypatch, letters):
+    """How far a text goes within a limit, from stored prefixes of words and from the library's count of each prefix."""
+    import sentencepiece
+
+    monkeypatch.setattr(token_counts, "WORD_LETTERS", letters)
+    monkeypatch.setattr(token_counts, "TABLE_WORDS", 5)
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    counter = token_counts.PrefixCounter(P.path("piece_bpe_32k.model"))
+    texts = ["", " ", "word", "Unbelievable  theories about   tokenisation ", " two  blanks ▁ mark", "é漢字 long " + "x" * 30, "a b c d e f g"]
+    for limit in range(8):
+        n, within = counter.counts(texts, limit)
+        for text, count, chars in zip(texts, n.tolist(), within.tolist()):
+            each = [len(model.encode(text[:i])) for i in range(len(text) + 1)]
+            assert count == each[-1]
+            assert chars == (len(text) if count <= limit else max(i for i, c in enumerate(each) if c <= limit))
+
+
 def test_budgets_from_prefixes(spark):
     import sentencepiece
 
@@ -255,10 +273,78 @@ def test_toxicity_never_sees_labels_of_held_out_rows(spark):
 
 def test_clauses_weigh_by_channel():
     reader = toxicity.Reader(toxicity.Terms.seeded())
-    rows = reader.features(["you idiot", "an idiot", "not an idiot", "they said you idiot", "all is well. kind words", "", "not. an idiot"])
-    aimed, plain, negated, reported, none, empty, parted = rows
+    rows = reader.features(["you idiot", "an idiot", "not an idiot", "they said you idiot", "all is well. kind words", "", "not. an idiot", "idiots like you, idiot you", "kill you", "kill time"])
+    aimed, plain, negated, reported, none, empty, parted, after, threat, idle = rows
     assert aimed[0] > 0 and plain[1] > 0 and negated[2] > 0 and reported[3] > 0
     assert not none.any() and not empty.any() and parted[1] > 0 and parted[2] == 0
+    assert after[0] == aimed[0] and threat[0] > 0 and threat[1] == 0 and idle[0] == 0 and 0 < idle[1] < threat[0]
+
+
+def test_the_machine_is_the_product_of_its_parts():
+    parts = (toxicity.INSULTS, toxicity.THREATS, toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS)
+    step, states = toxicity.compose(*parts)
+    assert len(states) == 32
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        at, apart = 0, [0] * len(parts)
+        for x in rng.integers(0, toxicity.END + 1, 30).tolist():
+            at, apart = step[at, x], [m.step[s][x] for m, s in zip(parts, apart)]
+            assert states[at] == tuple(apart)
+
+
+def features_by_force(terms, text):
+    """Channel features by the grammar's rules, clause by clause, without machines, tries, arrays or tables."""
+    import regex
+
+    def meaning(word):
+        own = terms.whole.get(word)
+        weights = [w for start, w in terms.beginnings.items() if word.startswith(start)] + ([own[1]] if own and own[0] == toxicity.INSULT else [])
+        return (toxicity.INSULT, max(weights)) if weights else own
+
+    chunks = text.replace("\n", " | ").split()
+    clauses, here = [], []
+    for place, chunk in enumerate(chunks):
+        here += [(place, w, *hit) for w in regex.findall(r"[\p{L}\p{M}]+", chunk.lower()) if (hit := meaning(w))]
+        if chunk[-1] in ".!?;:,|()\"«»“”…":
+            clauses.append(here)
+            here = []
+    sums, matched, terms_seen = {"aimed": 0.0, "plain": 0.0, "negated": 0.0, "reported": 0.0}, 0, set()
+    for clause in [*clauses, here]:
+        held = Counter()
+        negated = reported = aimed = hit = False
+        last = None
+        for place, word, symbol, weight in clause:
+            if last is not None and place - last > 5:
+                negated = False
+            last = place
+            if symbol in (toxicity.INSULT, toxicity.THREAT):
+                hit = True
+                held["negated" if negated else "reported" if reported else "open", symbol] += weight
+                if symbol == toxicity.INSULT:
+                    terms_seen.add(word)
+            negated = negated or symbol == toxicity.NEGATION
+            reported = reported or symbol == toxicity.REPORT
+            aimed = aimed or symbol == toxicity.TARGET
+        if hit:
+            matched += 1
+            for name in ("negated", "reported"):
+                sums[name] += min(8.0, held[name, toxicity.INSULT] + 0.2 * held[name, toxicity.THREAT])
+            sums["aimed" if aimed else "plain"] += min(8.0, held["open", toxicity.INSULT] + (1 if aimed else 0.2) * held["open", toxicity.THREAT])
+    if not matched:
+        return [0.0] * 7
+    values = [*sums.values(), matched, len(terms_seen), 1000 * sum(sums.values()) / len(chunks)]
+    return np.log1p(values)
+
+
+def test_features_are_those_of_brute_force(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    texts = [r["text"] or "" for r in docs.collect()]
+    pool = "you idiot idiots kill not never said they the a trash , . ; hurt wrote".split()
+    rng = np.random.default_rng(4)
+    texts += [" ".join(rng.choice(pool, 30)) for _ in range(100)] + ["", "  \n ", "you\nidiot"]
+    for terms in (toxicity.Terms.seeded(), toxicity.train(docs, labels).terms):
+        got = toxicity.Reader(terms).features(texts)
+        assert np.allclose(got, [features_by_force(terms, t) for t in texts])
 
 
 def test_toxicity_of_awkward_rows(spark, awkward, nothing):
