@@ -151,45 +151,116 @@ def test_budgets_from_prefixes(spark):
 # -- substring dedup
 
 
-def spans_by_force(rows, least):
-    import re
+def tiles_by_force(text):
+    """Units as (start, end, words), found letter by letter: a unit ends with the last of its marks."""
+    out, at = [], 0
+    for k, letter in enumerate(text):
+        if letter in ".!?\n" and (k + 1 == len(text) or text[k + 1] not in ".!?\n") or k + 1 == len(text):
+            if words := text[at : k + 1].lower().split():
+                out.append((at, k + 1, words))
+            at = k + 1
+    return out
+
+
+def word_places(text, a, b):
+    places, k = [], a
+    while k < b:
+        if text[k].isspace():
+            k += 1
+            continue
+        end = k
+        while end < b and not text[end].isspace():
+            end += 1
+        places.append((k, end))
+        k = end
+    return places
+
 
-    seen, out = {}, []
-    for doc, text in sorted(rows):
-        run, at = [], 0
-        for part in re.findall(substring_dedup.UNITS["sentence"], text or ""):
-            norm = " ".join(part.lower().split())
-            if norm:
-                if norm in seen:
-                    run.append((at, at + len(part), len(norm.split()), seen[norm]))
-                else:
-                    seen[norm] = doc
-                    if run:
-                        out.append((doc, run))
-                    run = []
-            at += len(part)
-        if run:
-            out.append((doc, run))
-    return {(d, r[0][0], r[-1][1], len(r), sum(x[2] for x in r), r[0][3]) for d, r in out if sum(x[2] for x in r) >= least}
+def spans_by_force(rows, least):
+    """(doc, start, end, units, words, kept document) of every repeated passage, read document by document."""
+    tiles = {d: tiles_by_force(t or "") for d, t in rows}
+    text = {d: t or "" for d, t in rows}
+    first: dict = {}
+    for d in sorted(tiles):
+        for place, (_, _, words) in enumerate(tiles[d]):
+            first.setdefault(tuple(words), (d, place))
+    out = set()
+    for d, own in tiles.items():
+        k = 0
+        while k < len(own):
+            if first[tuple(own[k][2])] == (d, k):
+                k += 1
+                continue
+            head = k
+            while k < len(own) and first[tuple(own[k][2])] != (d, k):
+                k += 1
+            tail = k - 1
+            anchor = max(range(head, tail + 1), key=lambda i: (len(own[i][2]), -i))
+            kept, at = first[tuple(own[anchor][2])]
+            there = tiles[kept]
+            start, end, words = own[head][0], own[tail][1], sum(len(own[i][2]) for i in range(head, tail + 1))
+            i, j = head - 1, at - (anchor - head) - 1
+            if i >= 0 and 0 <= j < len(there):
+                a, b, n = own[i][2], there[j][2], 0
+                while n < min(len(a), len(b)) and a[-1 - n] == b[-1 - n]:
+                    n += 1
+                if n:
+                    start, words = word_places(text[d], *own[i][:2])[-n][0], words + n
+            i, j = tail + 1, at + (tail - anchor) + 1
+            if i < len(own) and 0 <= j < len(there):
+                a, b, n = own[i][2], there[j][2], 0
+                while n < min(len(a), len(b)) and a[n] == b[n]:
+                    n += 1
+                if n:
+                    end, words = word_places(text[d], *own[i][:2])[n - 1][1], words + n
+            if words >= least:
+                out.add((d, start, end, tail - head + 1, words, kept))
+    return out
 
 
 def test_spans_are_those_of_brute_force(spark):
     rng = np.random.default_rng(1)
     pool = [" ".join(rng.choice(list("abcdefgh"), 4)) + rng.choice([". ", "!\n", "? "]) for _ in range(40)]
     rows = [(k, "".join(rng.choice(pool, 8)) + f"own {k}.") for k in range(60)] + [(61, None), (62, "")]
-    got = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), min_words=6).collect()
-    assert {tuple(r) for r in got} == spans_by_force(rows, 6)
+    for k in range(70, 100):  # passages whose ends fall inside sentences
+        passage = f"e f  g h. {pool[k % 3]}{pool[5]} h g"
+        rows.append((k, f"{' '.join(rng.choice(list('abxy'), 3))} {passage} {' '.join(rng.choice(list('abxy'), 3))}. {rng.choice(pool)}"))
+    for least in (0, 6, 15):
+        got = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), min_words=least).collect()
+        assert {tuple(r) for r in got} == spans_by_force(rows, least)
+
+
+def test_planted_passages_go_whole(spark):
+    """A passage of over 50 words that begins and ends inside sentences goes but for its first occurrence; the rest stays."""
+    rng = np.random.default_rng(2)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    def prose(n):
+        return " ".join(w + ("." if rng.random() < 0.12 else "") for w in word(n))
+
+    rows, own = [], {}
+    for p in range(8):
+        passage = " ".join(w + ("." if k in (11, 24, 31, 43) else "") for k, w in enumerate(word(56)))
+        for copy in range(4):
+            before, after = f"{prose(60)} mid{p}x{copy}", f"goes{p}x{copy} on {prose(60)}"
+            rows.append((10 * p + copy, f"{before} {passage} {after}"))
+            own[10 * p + copy] = f"{before} {passage} {after}" if copy == 0 else f"{before}  {after}"
+    boiler = "All rights reserved. Licensed under the terms of the licence."
+    rows += [(200 + k, f"{prose(80)}\n{boiler}") for k in range(20)]
+    own |= dict(rows[-20:])
+    got = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == own
 
 
 def test_spans_of_awkward_rows(spark, awkward, nothing):
     spans = substring_dedup.repeated_spans(awkward, min_words=3)
     docs = {r["doc_id"] for r in spans.collect()}
     assert docs == {5, 6, 7}  # the later of equal texts; 6 through its repeated row
-    unique = awkward.where("doc_id IS NOT NULL AND doc_id <> 6").withColumn("n_chars", __import__("pyspark").sql.functions.length("text"))
-    cut = substring_dedup.without_spans(unique, substring_dedup.repeated_spans(unique, min_words=3))
-    assert cut.columns == unique.columns and cut.count() == unique.count()
-    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in cut.collect()}[5] == ("", 0)
-    assert substring_dedup.repeated_spans(nothing).count() == 0
+    base = awkward.withColumn("n_chars", F.length("text")).withColumn("__cuts", F.lit("x")).drop("__cuts")
+    cut = substring_dedup.without_repeats(base, min_words=3)
+    assert cut.columns == base.columns and cut.count() == base.count()
+    rows = [(r["doc_id"], r["text"], r["n_chars"]) for r in cut.collect()]
+    assert (5, "", 0) in rows and sorted(len(t) for d, t, _ in rows if d == 6) == [0, 29]  # of a repeated row one keeps its text
+    assert substring_dedup.repeated_spans(nothing).count() == 0 and substring_dedup.without_repeats(nothing).count() == 0
 
 
 @pytest.mark.parametrize("unit", list(substring_dedup.UNITS))
