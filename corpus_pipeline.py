@@ -15,7 +15,7 @@ from oakmill.llm.common import table, whole_text, written
 from oakmill.llm.exact_dedup import exact_duplicates
 from oakmill.llm.near_dedup import near_duplicates
 from oakmill.llm.packing import public_pack
-from oakmill.llm.substring_dedup import repeated_spans, without_spans
+from oakmill.llm.substring_dedup import without_repeats
 from oakmill.llm.toxicity import train, without_toxic
 
 
@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut out; all rows stay."""
-    return without_spans(docs, repeated_spans(docs))
+    return without_repeats(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
