@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from oakmill.catalog import split_column
 from oakmill.functions import stats
 from oakmill.functions.stats import Moments
-from oakmill.operators.rows import hash_order, indexed
+from oakmill.operators.rows import first_by_hash, indexed, uniform
+from oakmill.operators.vectors import bounded
 from oakmill.plans import kinds
 from oakmill.plans.directives import Directives, QueryError, calls, put_together, select_parts, tokens
 from oakmill.plans.lineage import Analysis
@@ -150,8 +151,8 @@ def aggregate(engine, sql: str, given: Directives, seed: int) -> DataFrame:
     if n <= PILOT + LEAST:
         return _exact_row(engine, sql, items, n)
     keys = _key_columns(engine, analysis, blob, s.source)
-    order = hash_order(list(engine.catalog.table(blob).primary_key), seed)
-    ordered = lambda k: engine.inference.store.scratch(population.orderBy(*order).limit(k), "sample")
+    by = list(engine.catalog.table(blob).primary_key)
+    ordered = lambda k: engine.inference.store.scratch(first_by_hash(population, by, seed, k, n), "sample")
     delta = (1 - given.confidence / 100) / len(items)
     pilot = ordered(PILOT)
     matched, moments = _moments(engine, analysis, s, items, keys, pilot, blob, PILOT)
@@ -200,7 +201,8 @@ def join_aggregate(engine, sql: str, given: Directives, seed: int) -> DataFrame:
         df = engine.catalog.table(t).data
         for condition in _own_conditions(analysis, t):
             df = df.where(condition)
-        frames[t] = engine.inference.store.scratch(indexed(engine.inference.store.scratch(df, "side")), "indexed")
+        by = list(engine.catalog.table(t).primary_key)  # numbers by key, so a sample doesn't depend on partitions
+        frames[t] = engine.inference.store.scratch(indexed(df.repartitionByRange(*by).sortWithinPartitions(*by)), "indexed")
         sizes[t] = frames[t].count()
     pairs = sizes[sides[0]] * sizes[sides[1]]
     delta = (1 - given.confidence / 100) / len(items)
@@ -255,10 +257,8 @@ def _own_conditions(analysis: Analysis, table: str) -> list[str]:
 def _pair_moments(engine, s, items, frames, sides, sizes, n: int, seed: int) -> list[Moments]:
     """Draws ``n`` pairs by number, joins both sides to the draws, and sums up each item over them."""
     a, b = sides
-    uniform = lambda salt: F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(salt)), F.lit(1 << 52)) / float(1 << 52)
-    draws = engine.spark.range(n).select(
-        "id", F.floor(uniform(1) * sizes[a]).cast("long").alias("__i"), F.floor(uniform(2) * sizes[b]).cast("long").alias("__j")
-    )
+    drawn = lambda salt, size: F.floor(uniform(seed, salt, F.col("id")) * size).cast("long")
+    draws = engine.spark.range(n).select("id", drawn(1, sizes[a]).alias("__i"), drawn(2, sizes[b]).alias("__j"))
     left = draws.join(frames[a].withColumnRenamed("__index", "__i"), "__i").select("id", "__j", *[F.col(f"`{c}`").alias(f"__a_{c}") for c in engine.catalog.table(a).columns])
     both = left.join(frames[b].withColumnRenamed("__index", "__j"), "__j")
     both = engine.inference.store.scratch(
@@ -335,12 +335,12 @@ def representative_keys(engine) -> DataFrame:
     ids = engine.index.index.representatives()
     reps = engine.spark.createDataFrame(pd.DataFrame({"id": ids.astype(np.int64)}))
     keys = engine.catalog.table(engine.index.table).primary_key
-    return engine.index.mapping.join(F.broadcast(reps), "id", "left_semi").select("id", *keys)
+    return engine.index.mapping.join(bounded(reps, len(ids)), "id", "left_semi").select("id", *keys)
 
 
-def _inferred(engine, text: str, analysis: Analysis, keyed: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Runs services on some blobs (``id`` and keys) and gives ids with the query's rows: columns of the query
-    after ``id``; one row for each row of the query over these blobs."""
+def _inferred(engine, text: str, analysis: Analysis, keyed: DataFrame) -> tuple[DataFrame, list]:
+    """Runs services on some blobs (``id`` and keys) and gives ids (``__id``) with the query's rows, one for each row of the
+    query over these blobs, and the columns of the query over them, whatever their names are."""
     blob = engine.index.table
     keys = list(engine.catalog.table(blob).primary_key)
     sample = engine.catalog.table(blob).data.join(keyed.select(*keys).distinct(), keys, "left_semi")
@@ -351,16 +351,17 @@ def _inferred(engine, text: str, analysis: Analysis, keyed: DataFrame) -> tuple[
     held = _key_columns(engine, analysis, blob, s.source)
     s.items = [*[f"{sql} AS __key_{k}" for k, sql in held.items()], *s.items]
     rows = engine.run(put_together(s), _restricted(engine, analysis, blob, sample))
-    named = keyed.select("id", *[F.col(k).alias(f"__key_{k}") for k in keys])
-    columns = [c for c in rows.columns if not c.startswith("__key_")]
-    return rows.join(named, [f"__key_{k}" for k in keys]), columns
+    names = rows.columns[len(held) :]
+    rows = rows.toDF(*[f"__key_{k}" for k in held], *[f"__c{i}" for i in range(len(names))])
+    named = keyed.select(F.col("id").alias("__id"), *[F.col(k).alias(f"__key_{k}") for k in keys])
+    return rows.join(named, [f"__key_{k}" for k in keys]), [F.col(f"__c{i}").alias(c) for i, c in enumerate(names)]
 
 
 def proxy_scores(engine, text: str, analysis: Analysis, binary: bool = False) -> DataFrame:
     """``id, score`` of all vectors: how many rows of the query each representative has, propagated to the others."""
     reps = representative_keys(engine)
     rows, _ = _inferred(engine, text, analysis, reps)
-    counted = rows.groupBy("id").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    counted = rows.groupBy(F.col("__id").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("score"))
     own = reps.select("id").join(counted, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
     scores = engine.index.index.propagate(own, binary)
     return engine.inference.store.scratch(scores.join(engine.index.mapping.select("id").distinct(), "id", "left_semi"), "scores")
@@ -383,7 +384,8 @@ def select(engine, sql: str, given: Directives, seed: int) -> DataFrame:
     mapping, keys = engine.index.mapping, list(engine.catalog.table(engine.index.table).primary_key)
     rows, columns = _inferred(engine, text, analysis, drawn.join(mapping, "id").select("id", *keys))
     rows = engine.inference.store.scratch(rows, "satisfied")
-    hits = drawn.join(rows.select("id").distinct(), "id", "left_semi").withColumn("mass", (1.0 / n) / F.col("p"))
+    found = rows.select(F.col("__id").alias("id")).distinct()
+    hits = drawn.join(found, "id", "left_semi").withColumn("mass", (1.0 / n) / F.col("p"))
     target = given.recall_target
     tau = _threshold(hits, target)
     if tau is not None:
@@ -396,7 +398,7 @@ def select(engine, sql: str, given: Directives, seed: int) -> DataFrame:
         corrected = stats.recall_target(Moments(DRAWS, a, a2, 0), Moments(DRAWS, b, b2, 0), DRAWS, given.confidence)
         tau = _threshold(hits, max(target, corrected))
     tau = 0.0 if tau is None else tau
-    others = scores.where(F.col("score") >= tau).join(rows.select("id").distinct(), "id", "left_anti")
+    others = scores.where(F.col("score") >= tau).join(found, "id", "left_anti")
     more, _ = _inferred(engine, text, analysis, others.join(mapping, "id").select("id", *keys))
     out = rows.select(*columns).unionByName(more.select(*columns))
     return out

@@ -6,8 +6,6 @@ most (``buckets``, a parameter), so they are sent to every task.
 
 from __future__ import annotations
 
-import os
-import shutil
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,9 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from oakmill.operators.inference import delete_folder, folder_exists
+
 METRICS = ("l2", "cosine", "dot")
-DRIVER_VECTORS = 200_000
+CHUNK = 50_000
 BLOCK = 4096
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, known to have that many rows, for a join: broadcast as long as it is small."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def _matrix(column) -> np.ndarray:
@@ -41,14 +47,14 @@ def nearest(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, met
     """``id, nearest`` (array of (other, distance), near to far, ties by id) of each row of ``vectors`` (id, embedding)
     among a bounded set of vectors."""
     order = np.argsort(ids, kind="stable")
-    ids, matrix = ids[order], matrix[order].astype(np.float32)
+    ids, matrix = ids[order], matrix[order].astype(np.float64)
     k = min(k, len(ids))
 
     def run(batches):
         for batch in batches:
             m = _matrix(batch.column(1))
             for a in range(0, len(m), chunk):
-                d = scores(metric, m[a : a + chunk], matrix)
+                d = scores(metric, m[a : a + chunk].astype(np.float64), matrix)
                 at = np.argsort(d, axis=1, kind="stable")[:, :k]
                 rows = [[{"other": int(ids[j]), "distance": float(d[i, j])} for j in row] for i, row in enumerate(at.tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -77,8 +83,8 @@ class VectorStore:
 
     def delete_index(self, name: str) -> None:
         del self.metric[name], self.data[name]
-        if self.folder and os.path.isdir(f"{self.folder}/{name}"):
-            shutil.rmtree(f"{self.folder}/{name}")
+        if self.folder:
+            delete_folder(self.spark, f"{self.folder}/{name}")
 
     def save_index(self, name: str) -> str:
         path = f"{self.folder}/{name}/{self.metric[name]}"
@@ -86,7 +92,7 @@ class VectorStore:
         return path
 
     def load_index(self, name: str) -> None:
-        (metric,) = [m for m in METRICS if os.path.isdir(f"{self.folder}/{name}/{m}")]
+        (metric,) = [m for m in METRICS if folder_exists(self.spark, f"{self.folder}/{name}/{m}")]
         self.create_index(name, self.spark.read.parquet(f"{self.folder}/{name}/{metric}"), metric, replace=True)
 
     def insert_data(self, name: str, vectors: DataFrame, upsert: bool = False) -> None:
@@ -158,11 +164,13 @@ def farthest_points(ids: np.ndarray, matrix: np.ndarray, buckets: int, share: fl
     """Ids of representatives: some at random, then again and again the vector farthest from all so far (the least
     Euclidean distance to them is greatest; ties: first). Earlier ones stay. Sorted, each once."""
     n = min(buckets, len(ids))
+    matrix = matrix.astype(np.float64)
     rng = np.random.Generator(np.random.PCG64(seed))
     chosen = [int(i) for i in np.flatnonzero(np.isin(ids, old))] if old is not None else []
-    start = rng.choice(len(ids), size=min(n, max(1, int((1 - share) * buckets))), replace=False) if len(ids) else []
+    some = max(0 if chosen else 1, int((1 - share) * buckets))
+    start = rng.choice(len(ids), size=min(n, some), replace=False) if len(ids) else []
     chosen += [int(i) for i in start if int(i) not in set(chosen)]
-    least = np.full(len(ids), np.inf, np.float32)
+    least = np.full(len(ids), np.inf)
     for i in chosen:
         least = np.minimum(least, ((matrix - matrix[i]) ** 2).sum(1))
     target = max(n, len(chosen))
@@ -179,8 +187,9 @@ def farthest_points(ids: np.ndarray, matrix: np.ndarray, buckets: int, share: fl
 class ProxyIndex:
     """Representatives of an embedding table and every vector's nearest ones.
 
-    Up to ``DRIVER_VECTORS`` vectors the representatives are chosen on the driver. Beyond, each partition
-    chooses as many among its own, and they are chosen among those (farthest points of farthest points).
+    They are chosen in one way at every size: vectors are dealt by a hash of the id to chunks of about ``CHUNK``, each of
+    which chooses ``buckets`` of its own by farthest points; the chosen ones are dealt again until one chunk holds
+    all. A task holds one chunk, the driver gets no more than the representatives.
     """
 
     vectors: DataFrame  # id, embedding
@@ -188,33 +197,38 @@ class ProxyIndex:
     share: float = 0.75
     seed: int = 1234
     k: int = 5
+    first: tuple[int, ...] = ()  # ids that represent in any case, before others are chosen
     _reps: tuple[np.ndarray, np.ndarray] | None = None
     _nearest: DataFrame | None = None
 
     def representatives(self) -> np.ndarray:
         if self._reps is None:
-            self._choose(None)
+            self._choose(np.array(self.first, np.int64) if self.first else None)
         return self._reps[0]
 
     def _choose(self, old: np.ndarray | None) -> None:
-        rows = self.vectors.select(F.col("id").cast("long"), "embedding")
-        buckets, share, seed = self.buckets, self.share, self.seed
-        if rows.count() > DRIVER_VECTORS:
-            keep = old
-
-            def own(batches):
-                parts = [(b.column(0).to_numpy(), _matrix(b.column(1))) for b in batches if b.num_rows]
-                if parts:
-                    ids, m = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                    at = np.isin(ids, farthest_points(ids, m, buckets, share, seed, keep))
-                    yield pa.RecordBatch.from_pydict({"id": ids[at], "embedding": m[at].tolist()})
-
-            local = self.vectors.sparkSession.sparkContext.defaultParallelism
-            rows = rows.repartition(min(local, max(1, DRIVER_VECTORS // buckets)), "id").mapInArrow(own, "id long, embedding array<float>")
-        data = rows.orderBy("id").toArrow()
-        ids, matrix = data.column(0).to_numpy(), _matrix(data.column(1))
-        chosen = farthest_points(ids, matrix, buckets, share, seed, old)
-        self._reps = chosen, matrix[np.isin(ids, chosen)]
+        rows = self.vectors.select(F.col("id").cast("long"), F.col("embedding").cast("array<float>"))
+        buckets, share, seed, size = self.buckets, self.share, self.seed, max(CHUNK, 4 * self.buckets)
+
+        def own(part: pa.Table) -> pa.Table:
+            part = part.sort_by("id")
+            ids, m = part.column("id").to_numpy(), _matrix(part.column("embedding"))
+            at = np.isin(ids, farthest_points(ids, m, buckets, share, seed, old))
+            return pa.table({"id": pa.array(ids[at]), "embedding": pa.array(list(m[at]), pa.list_(pa.float32()))})
+
+        n = rows.count()
+        while True:
+            chunks = max(1, -(-n // size))
+            dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(chunks)), F.lit(chunks)))
+            rows = dealt.groupBy("chunk").applyInArrow(own, "id long, embedding array<float>")
+            if chunks == 1:
+                break
+            n = chunks * (buckets + (0 if old is None else len(old)))
+        self._hold(rows)
+
+    def _hold(self, rows: DataFrame) -> None:
+        data = rows.toArrow().sort_by("id")
+        self._reps = data.column(0).to_numpy(), _matrix(data.column(1))
         self._forget()
 
     def _forget(self) -> None:
@@ -222,10 +236,11 @@ class ProxyIndex:
             self._nearest.unpersist()
         self._nearest = None
 
-    def set_representatives(self, ids: list[int]) -> None:
-        data = self.vectors.where(F.col("id").isin([int(i) for i in ids])).orderBy("id").select("id", "embedding").toArrow()
-        self._reps = data.column(0).to_numpy(), _matrix(data.column(1))
-        self._forget()
+    def set_representatives(self, ids: list[int] | DataFrame) -> None:
+        """These vectors (ids, or a DataFrame with a column ``id``) represent all others from here on."""
+        wanted = ids.select("id") if isinstance(ids, DataFrame) else self.vectors.sparkSession.createDataFrame(pd.DataFrame({"id": np.array(ids, np.int64)}))
+        own = self.vectors.select(F.col("id").cast("long"), F.col("embedding").cast("array<float>"))
+        self._hold(own.join(wanted.distinct(), "id", "left_semi"))
 
     def nearest(self) -> DataFrame:
         if self._nearest is None:
@@ -252,7 +267,7 @@ class ProxyIndex:
         """
         own = rep_scores.select(F.col("id").alias("other"), F.col("score").cast("double").alias("own"))
         near = self.nearest().select("id", F.explode("nearest").alias("n")).select("id", "n.other", (F.sqrt("n.distance") + 1e-8).alias("d"))
-        joined = near.join(F.broadcast(own), "other", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+        joined = near.join(bounded(own, len(self.representatives())), "other", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
         sums = joined.groupBy("id").agg(
             F.sum("d").alias("D"),
             F.count(F.lit(1)).alias("n"),
