@@ -27,6 +27,22 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it: local folders and object stores alike."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    files, where = file_system(spark, path)
+    files.delete(where, True)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    files, where = file_system(spark, path)
+    return files.exists(where)
+
+
 TASK_ROWS = 1_000_000
 
 
@@ -39,18 +55,25 @@ class Store:
         self.folder = folder or f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
         self.runs: dict[tuple[str, str], list[str]] = {}
 
-    def add(self, service: str, what: str, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{service}/{what}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.runs.setdefault((service, what), []).append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    def add(self, service: str, **parts: DataFrame) -> None:
+        """Writes all parts of a run (``out``, ``seen``) and only then makes them known: a run counts whole or not at all."""
+        run = uuid.uuid4().hex
+        paths = {what: f"{self.folder}/{service}/{what}/{run}" for what in parts}
+        for what, df in parts.items():
+            df.write.parquet(paths[what])
+        for what, path in paths.items():
+            self.runs.setdefault((service, what), []).append(path)
 
     def scratch(self, df: DataFrame, what: str) -> DataFrame:
-        """Written once and read again: what follows doesn't run a service twice."""
+        """Written once and read again: what follows doesn't run a service twice. ``clear_scratch`` deletes it."""
         path = f"{self.folder}/scratch/{what}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def clear_scratch(self) -> None:
+        """Deletes what queries so far have written in between; DataFrames that they gave can't be read any more."""
+        delete_folder(self.spark, f"{self.folder}/scratch")
+
     def all(self, service: str, what: str, schema: T.StructType) -> DataFrame:
         paths = self.runs.get((service, what), [])
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
@@ -69,12 +92,14 @@ def output_schema(catalog: Catalog, bound: Bound) -> T.StructType:
 
 
 class Inference:
-    """Runs bound services. ``rows_sent`` counts rows given to each service so far."""
+    """Runs bound services. ``rows_sent`` counts rows given to each service so far, ``calls`` calls of its model (a task
+    that is repeated counts again)."""
 
     def __init__(self, spark: SparkSession, catalog: Catalog, store: Store | None = None):
         self.spark, self.catalog = spark, catalog
         self.store = store or Store(spark)
         self.rows_sent: dict[str, int] = {}
+        self.counters: dict = {}
 
     def _keys(self, bound: Bound) -> list[int]:
         """Positions of the inputs that are primary keys, which name an input; of all, if there are none."""
@@ -119,8 +144,7 @@ class Inference:
         if bound.verbose:
             print(f"{name}: {n} rows")
         if n:
-            self.store.add(name, "out", self._run(bound, new, n))
-            self.store.add(name, "seen", new.select(*keys))
+            self.store.add(name, out=self._run(bound, new, n), seen=new.select(*keys))
         if not return_results:
             return None
         outputs = self.outputs(name)
@@ -146,12 +170,19 @@ class Inference:
         positions = {c: k for k, c in enumerate(given)}
         columns = [(f.name, sources.get(c), positions.get(c)) for c, f in zip(binding.written, schema)]
         n_given = len(given)
+        tasks = self.spark.sparkContext.defaultParallelism
+        parts = max(1, min(max(tasks * 4, n // TASK_ROWS), -(-n // size)))
+        if limit := getattr(service, "per_minute", None):
+            parts = min(parts, tasks, max(1, int(limit // 60)))  # under a limit more tasks would only wait
+        service = service.for_tasks(parts)
+        counter = self.counters.setdefault(service.name, self.spark.sparkContext.accumulator(0))
 
         def call(batches):
             for batch in batches:
                 for a in range(0, len(batch), size):
                     rows = batch.iloc[a : a + size].reset_index(drop=True)
                     together, lengths = service.infer_flat(rows)
+                    counter.add(service.calls(len(rows)))
                     if not sum(lengths):
                         continue
                     if together.shape[1] != n_given:
@@ -159,8 +190,11 @@ class Inference:
                     source = rows.loc[rows.index.repeat(lengths)].reset_index(drop=True)
                     yield pd.DataFrame({name: source[copied] if copied else together[k] for name, copied, k in columns})
 
-        tasks = self.spark.sparkContext.defaultParallelism
-        return new.repartition(max(1, min(max(tasks * 4, n // TASK_ROWS), -(-n // size)))).mapInPandas(call, schema)
+        return new.repartition(parts).mapInPandas(call, schema)
+
+    @property
+    def calls(self) -> dict[str, int]:
+        return {name: counter.value for name, counter in self.counters.items()}
 
     def outputs(self, name: str) -> DataFrame:
         """All outputs of a service so far, columns named table.column."""

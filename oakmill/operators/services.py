@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import asyncio
+import copy
+import inspect
+import json
+import threading
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
@@ -22,14 +30,39 @@ class Service:
     the order of its outputs without copied ones. A service is sent to the executors, so it must be picklable.
     """
 
-    def __init__(self, name: str, cost: float | None = None, preferred_batch_size: int = 1000):
-        self.name, self.cost, self.preferred_batch_size = name, cost, preferred_batch_size
+    def __init__(self, name: str, cost: float | None = None, preferred_batch_size: int = 1000, concurrency: int = 1):
+        self.name, self.cost, self.preferred_batch_size, self.concurrency = name, cost, preferred_batch_size, concurrency
 
     def infer_one(self, row: pd.Series) -> pd.DataFrame:
+        """May be a coroutine: up to ``concurrency`` rows are under way at once then. So are rows of a plain function,
+        in threads, if ``concurrency`` is above 1."""
         raise NotImplementedError
 
     def infer_batch(self, rows: pd.DataFrame) -> list[pd.DataFrame]:
-        return [self.infer_one(row) for _, row in rows.iterrows()]
+        each = [row for _, row in rows.iterrows()]
+        if inspect.iscoroutinefunction(self.infer_one):
+            return asyncio.run(self._together(each))
+        if self.concurrency > 1:
+            with ThreadPoolExecutor(self.concurrency) as pool:
+                return list(pool.map(self.infer_one, each))
+        return [self.infer_one(row) for row in each]
+
+    async def _together(self, rows: list[pd.Series]) -> list[pd.DataFrame]:
+        free = asyncio.Semaphore(max(1, self.concurrency))
+
+        async def one(row):
+            async with free:
+                return await self.infer_one(row)
+
+        return list(await asyncio.gather(*map(one, rows)))
+
+    def calls(self, rows: int) -> int:
+        """How many calls of the model so many rows of a batch make."""
+        return rows
+
+    def for_tasks(self, tasks: int) -> "Service":
+        """The service as each of so many tasks gets it."""
+        return self
 
     def infer_flat(self, rows: pd.DataFrame) -> tuple[pd.DataFrame, list[int]]:
         """All outputs in one frame, and how many each input has."""
@@ -44,15 +77,22 @@ def flat(name: str, answers: list[pd.DataFrame], n: int) -> tuple[pd.DataFrame,
 
 
 class FunctionService(Service):
-    """A function of a whole frame of inputs. It gives a list with a frame for each row, or one frame with as many rows
-    as the inputs."""
+    """A function of a whole frame of inputs, also a coroutine. It gives a list with a frame for each row, or one frame with
+    as many rows as the inputs."""
 
     def __init__(self, name: str, function: Callable[[pd.DataFrame], Any], **options):
         super().__init__(name, **options)
         self.function = function
 
-    def infer_batch(self, rows: pd.DataFrame) -> list[pd.DataFrame]:
+    def _called(self, rows: pd.DataFrame) -> Any:
         out = self.function(rows)
+        return asyncio.run(out) if inspect.iscoroutine(out) else out
+
+    def calls(self, rows: int) -> int:
+        return 1
+
+    def infer_batch(self, rows: pd.DataFrame) -> list[pd.DataFrame]:
+        out = self._called(rows)
         if isinstance(out, pd.DataFrame):
             if len(out) != len(rows):
                 raise ValueError(f"{self.name}: {len(out)} rows for {len(rows)} inputs")
@@ -60,7 +100,7 @@ class FunctionService(Service):
         return list(out)
 
     def infer_flat(self, rows: pd.DataFrame) -> tuple[pd.DataFrame, list[int]]:
-        out = self.function(rows)
+        out = self._called(rows)
         if not isinstance(out, pd.DataFrame):
             return flat(self.name, list(out), len(rows))
         if len(out) != len(rows):
@@ -126,12 +166,15 @@ class HTTPService(Service):
 
     ``inputs``: the JSON path of each input column; ``outputs``: that of each output column (a path with ``ANY``
     gives as many rows as the list has). ``transport(url, headers, body)`` gives the response's JSON; by default it
-    posts with urllib. ``per_minute`` spaces requests of one task. ``wrap``: text put before and after the content of
+    posts with urllib, waits ``timeout`` seconds at most, and tries up to ``retries`` times again after a refusal for the
+    load (429), an error of the server (5xx) or of the network, waiting ``backoff`` seconds, then twice as long each time
+    (or as long as the answer asks). ``per_minute`` limits the requests of all tasks together: each gets its share.
+    ``wrap``: text put before and after the content of
     chat messages. With ``batch`` one request has columns of values, and the response is a list with an answer for each
     row, or one frame as a dict of columns, as services of pairs give it.
     """
 
-    def __init__(self, name: str, url: str, inputs: list[tuple], outputs: list[tuple], *, headers: dict | None = None, defaults: list[tuple[tuple, Any]] = (), input_types: list[type] | None = None, output_types: list[type] | None = None, per_minute: float | None = None, batch: bool = False, transport: Callable | None = None, wrap: tuple[str, str] | None = None, **options):
+    def __init__(self, name: str, url: str, inputs: list[tuple], outputs: list[tuple], *, headers: dict | None = None, defaults: list[tuple[tuple, Any]] = (), input_types: list[type] | None = None, output_types: list[type] | None = None, per_minute: float | None = None, batch: bool = False, transport: Callable | None = None, wrap: tuple[str, str] | None = None, timeout: float = 60.0, retries: int = 3, backoff: float = 1.0, **options):
         super().__init__(name, **options)
         for path in (*inputs, *outputs):
             if sum(p is ANY for p in path) > 1:
@@ -139,19 +182,48 @@ class HTTPService(Service):
         self.url, self.inputs, self.outputs, self.headers, self.defaults = url, inputs, outputs, headers or {}, list(defaults)
         self.input_types, self.output_types, self.per_minute = input_types, output_types, per_minute
         self.batch, self.transport, self.wrap = batch, transport, wrap
-        self._last = 0.0
+        self.timeout, self.retries, self.backoff = timeout, retries, backoff
+        self._next, self._tasks, self._turn = 0.0, 1, threading.Lock()
 
-    def _post(self, body: Any) -> Any:
-        if self.per_minute:
-            time.sleep(max(0.0, self._last + 60 / self.per_minute - time.monotonic()))
-            self._last = time.monotonic()
-        if self.transport:
-            return self.transport(self.url, self.headers, body)
-        import json
-        import urllib.request
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_turn"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"_turn": threading.Lock()}
 
+    def calls(self, rows: int) -> int:
+        return 1 if self.batch else rows
+
+    def for_tasks(self, tasks: int) -> "HTTPService":
+        own = copy.copy(self)
+        own._tasks = tasks
+        return own
+
+    def _wait(self) -> None:
+        """Takes the next free moment: requests of a task are so far apart that all tasks together keep the limit."""
+        with self._turn:
+            at = max(self._next, time.monotonic())
+            self._next = at + 60 * self._tasks / self.per_minute
+        time.sleep(max(0.0, at - time.monotonic()))
+
+    def _post(self, body: Any) -> Any:
+        wait = self.backoff
+        for tried in range(self.retries + 1):
+            if self.per_minute:
+                self._wait()
+            try:
+                return self.transport(self.url, self.headers, body) if self.transport else self._urllib(body)
+            except (urllib.error.URLError, TimeoutError, ConnectionError) as error:
+                code, headers = getattr(error, "code", None), getattr(error, "headers", None)
+                if tried == self.retries or (code is not None and code != 429 and code < 500):
+                    raise
+                asked = (headers or {}).get("Retry-After", "")
+                time.sleep(float(asked) if asked.isdigit() else wait)
+                wait *= 2
+
+    def _urllib(self, body: Any) -> Any:
         request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json", **self.headers})
-        with urllib.request.urlopen(request) as answer:
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
             return json.loads(answer.read())
 
     def request(self, row: pd.Series) -> Any:

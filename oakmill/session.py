@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,8 @@ from oakmill.plans.directives import Directives, QueryError
 from oakmill.plans.kinds import Kind
 from oakmill.plans.lineage import Analysis, Clause, analyse
 
+_VIEWS = threading.RLock()
+
 
 @dataclass
 class IndexedTable:
@@ -88,6 +92,15 @@ class Engine:
     def rows_sent(self) -> dict[str, int]:
         return dict(self.inference.rows_sent)
 
+    @property
+    def calls(self) -> dict[str, int]:
+        """Calls of each service's model so far (one for a whole batch, where it takes batches)."""
+        return self.inference.calls
+
+    def clear_scratch(self) -> None:
+        """Deletes what queries have written in between. Do it when their results have been used; what services gave stays."""
+        self.inference.store.clear_scratch()
+
     # -- queries
 
     def execute(self, query: str, seed: int = 1234) -> DataFrame:
@@ -148,14 +161,29 @@ class Engine:
 
     @contextmanager
     def views(self, tables: dict[str, DataFrame]):
-        """Temporary views for tables while a query is analysed; a DataFrame keeps what it was made from."""
-        for name, df in tables.items():
-            df.createOrReplaceTempView(name)
+        """Temporary views for tables while a query is analysed; a DataFrame keeps what it was made from.
+
+        Views of the user's own with such names are put back afterwards, and queries of other threads wait meanwhile.
+        """
+        with _VIEWS:
+            held = {name: own for name in tables if (own := self._own_view(name)) is not None}
+            for name, df in tables.items():
+                df.createOrReplaceTempView(name)
+            try:
+                yield
+            finally:
+                for name in tables:
+                    if name in held:
+                        held[name].createOrReplaceTempView(name)
+                    else:
+                        self.spark.catalog.dropTempView(name)
+
+    def _own_view(self, name: str) -> DataFrame | None:
         try:
-            yield
-        finally:
-            for name in tables:
-                self.spark.catalog.dropTempView(name)
+            known = self.spark.catalog.getTable(name)
+        except AnalysisException:
+            return None
+        return self.spark.table(name) if known.isTemporary else None
 
     def run(self, text: str, blobs: dict[str, DataFrame] | None = None, tables: set[str] | None = None) -> DataFrame:
         """Spark's answer over stored tables (some of them replaced by ``blobs``) and what services have given."""
