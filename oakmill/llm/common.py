@@ -49,11 +49,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def discard(*held: DataFrame) -> None:
-    """Deletes what ``written`` wrote for these, once nothing that is still to be run reads it."""
+    """Deletes what ``written`` wrote for these, once nothing that is still to be run reads it. Their plans go from the
+    driver's memory too, and with them the shuffle files that only those could read."""
     for df in held:
         spark = df.sparkSession
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    release()
+    if held:
+        held[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def whole_text(name: str = "text"):

@@ -10,7 +10,7 @@
    of two texts is equal with the probability of their weighted Jaccard similarity. Texts of equal words
    are one class from here on, represented by the least id.
 3. Buckets. Equal bands put classes into a bucket. Pairs are not emitted all with all: in each round some
-   members of each bucket become hubs (one, then four times more each round), every member of another
+   members of each bucket become hubs (one, then eight times more each round), every member of another
    component is paired with the hubs, and a hub that has met all others leaves its bucket. Buckets whose
    members are all of one component are done, so a family of copies ends after a round or two, and no pair
    that could join two components is left out.
@@ -388,7 +388,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     open_ = members.select("key", "doc", "total", "hot", F.col("doc").alias("root"))
     round_ = 0
     while True:
-        slots = 4**round_
+        slots = 8**round_
         slot = F.pmod(F.xxhash64("doc", F.lit(round_)), F.lit(slots)) if round_ else F.lit(0)
         hubs = open_.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("doc", "root", "total", "hot")).alias("h")).select("key", "h.*")
         hubs = written(hubs.select("key", F.col("doc").alias("hub"), F.col("root").alias("hub_root"), F.col("total").alias("hub_total"), "hot"), "hubs")
