@@ -20,6 +20,7 @@ METRICS = ("l2", "cosine", "dot")
 CHUNK = 50_000
 BLOCK = 4096
 BROADCAST_ROWS = 1_000_000
+SAMPLE, MOST_CELLS, ROUNDS = 20_000, 4096, 10
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -65,35 +66,90 @@ def nearest(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, met
     return vectors.select(F.col("id").cast("long"), "embedding").mapInArrow(run, "id long, nearest array<struct<other: long, distance: double>>")
 
 
+def k_means(sample: np.ndarray, cells: int, metric: str, seed: int = 1234) -> np.ndarray:
+    """Centres of cells, by Lloyd's rounds over a bounded sample."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    centres = sample[rng.choice(len(sample), size=min(cells, len(sample)), replace=False)].astype(np.float64)
+    for _ in range(ROUNDS):
+        own = scores(metric, sample.astype(np.float64), centres).argmin(1)
+        sums, counts = np.zeros_like(centres), np.bincount(own, minlength=len(centres))
+        np.add.at(sums, own, sample)
+        full = counts > 0
+        centres[full] = sums[full] / counts[full, None]
+    return centres
+
+
+def probes_for(sample: np.ndarray, centres: np.ndarray, metric: str, k: int = 10, recall: float = 0.95, queries: int = 200) -> int:
+    """How many cells have to be searched to find this share of the nearest, measured by brute force on the sample."""
+    own = scores(metric, sample.astype(np.float64), centres).argmin(1)
+    asked = sample[: min(queries, len(sample))].astype(np.float64)
+    rank = scores(metric, asked, centres).argsort(1, kind="stable").argsort(1)
+    d = scores(metric, asked, sample.astype(np.float64))
+    d[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+    near = d.argsort(1, kind="stable")[:, : min(k, len(sample) - 1)]
+    ranks = np.take_along_axis(rank, own[near], 1)
+    return int(np.quantile(ranks, recall)) + 1 if ranks.size else 1
+
+
+@dataclass
+class Cells:
+    """An inverted file: the centres of cells, and to how many of the nearest cells a query goes."""
+
+    centres: np.ndarray
+    probes: int
+
+
 class VectorStore:
-    """Named indexes of vectors (id, embedding, further columns), searched exactly."""
+    """Named indexes of vectors (id, embedding, further columns). Flat ones are searched exactly; an inverted file ("ivf")
+    has its cells fitted on at most ``SAMPLE`` vectors, holds every vector, and searches the ``probes`` cells nearest to
+    a query: all of them give exact results; by default so many that 0.95 of the nearest are found on the sample."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder = spark, folder
         self.data: dict[str, DataFrame] = {}
         self.metric: dict[str, str] = {}
+        self.cells: dict[str, Cells] = {}
 
-    def create_index(self, name: str, vectors: DataFrame | None = None, metric: str = "l2", replace: bool = False) -> None:
+    def create_index(self, name: str, vectors: DataFrame | None = None, metric: str = "l2", replace: bool = False, kind: str = "flat", cells: int | None = None, probes: int | None = None) -> None:
         if metric not in METRICS:
             raise ValueError(f"no metric {metric!r}")
         if name in self.metric and not replace:
             raise ValueError(f"index {name} exists")
+        if kind not in ("flat", "ivf"):
+            raise ValueError(f"no kind of index {kind!r}")
+        self.cells.pop(name, None)
+        if kind == "ivf":
+            if vectors is None:
+                raise ValueError("an inverted file is fitted on vectors")
+            n = vectors.count()
+            sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").toArrow()
+            matrix = _matrix(sample.column(0))
+            centres = k_means(matrix, cells or max(1, min(MOST_CELLS, int(n**0.5))), metric)
+            self.cells[name] = Cells(centres, probes or probes_for(matrix, centres, metric))
         self.metric[name] = metric
         self.data[name] = vectors if vectors is not None else self.spark.createDataFrame([], "id long, embedding array<float>")
 
     def delete_index(self, name: str) -> None:
         del self.metric[name], self.data[name]
+        self.cells.pop(name, None)
         if self.folder:
             delete_folder(self.spark, f"{self.folder}/{name}")
 
     def save_index(self, name: str) -> str:
         path = f"{self.folder}/{name}/{self.metric[name]}"
         self.data[name].write.mode("errorifexists").parquet(path)
+        if name in self.cells:
+            own = self.cells[name]
+            rows = pd.DataFrame({"cell": range(len(own.centres)), "probes": own.probes, "centre": own.centres.tolist()})
+            self.spark.createDataFrame(rows).write.parquet(f"{self.folder}/{name}/cells")
         return path
 
     def load_index(self, name: str) -> None:
         (metric,) = [m for m in METRICS if folder_exists(self.spark, f"{self.folder}/{name}/{m}")]
         self.create_index(name, self.spark.read.parquet(f"{self.folder}/{name}/{metric}"), metric, replace=True)
+        if folder_exists(self.spark, f"{self.folder}/{name}/cells"):
+            rows = self.spark.read.parquet(f"{self.folder}/{name}/cells").orderBy("cell").toPandas()
+            self.cells[name] = Cells(np.array(rows["centre"].tolist()), int(rows["probes"].iloc[0]))
 
     def insert_data(self, name: str, vectors: DataFrame, upsert: bool = False) -> None:
         old = self.data[name]
@@ -134,11 +190,19 @@ class VectorStore:
         to blocks, and each pair of blocks is one group of bounded size that gives k rows for each of its queries."""
         rows = (self.data[name].where(where) if where else self.data[name]).select(F.col("id").cast("long"), "embedding")
         queries, metric = queries.select(F.col("id").cast("long"), "embedding"), self.metric[name]
-        blocks = [max(1, -(-df.count() // BLOCK)) for df in (rows, queries)]
-        deal = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        data = rows.select("id", "embedding", deal(blocks[0]).alias("b"), every(blocks[1]).alias("qb"))
-        asked = queries.select("id", "embedding", deal(blocks[1]).alias("qb"), every(blocks[0]).alias("b"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        if name in self.cells:
+            own = self.cells[name]
+            data, asked = _celled(rows, own.centres, 1, metric), _celled(queries, own.centres, own.probes, metric)
+        else:
+            data, asked = rows.withColumn("cell", F.lit(0)), queries.withColumn("cell", F.lit(0))
+        # Blocks of each cell (a bounded number of cells): so many that none of its groups gets large.
+        held = [{r["cell"]: r["n"] for r in df.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()} for df in (data, asked)]
+        cells = len(self.cells[name].centres) if name in self.cells else 1
+        parts = [F.element_at(F.array(*[F.lit(max(1, -(-n.get(c, 0) // BLOCK))) for c in range(cells)]), F.col("cell") + 1) for n in held]
+        deal = lambda n: F.pmod(F.xxhash64("id", F.lit(1)), n).cast("int")
+        data = data.select("id", "embedding", "cell", deal(parts[0]).alias("b"), every(parts[1]).alias("qb"))
+        asked = asked.select("id", "embedding", "cell", deal(parts[1]).alias("qb"), every(parts[0]).alias("b"))
 
         def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(x):
@@ -150,7 +214,7 @@ class VectorStore:
             n = at.shape[1]
             return pd.DataFrame({"query": np.repeat(q["id"].to_numpy(), n), "id": x["id"].to_numpy()[at.ravel()], "distance": np.take_along_axis(d, at, 1).ravel().astype(float)})
 
-        met = asked.groupBy("b", "qb").cogroup(data.groupBy("b", "qb")).applyInPandas(meet, "query long, id long, distance double")
+        met = asked.groupBy("cell", "b", "qb").cogroup(data.groupBy("cell", "b", "qb")).applyInPandas(meet, "query long, id long, distance double")
         w = Window.partitionBy("query").orderBy("distance", "id")
         return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "distance")
 
@@ -160,6 +224,22 @@ class VectorStore:
         return nearest(self.data[name], reps.column(0).to_numpy(), _matrix(reps.column(1)), k, self.metric[name])
 
 
+def _celled(vectors: DataFrame, centres: np.ndarray, k: int, metric: str) -> DataFrame:
+    """``id, embedding, cell``: each vector once for each of its ``k`` nearest cells."""
+
+    def run(batches):
+        for batch in batches:
+            m = _matrix(batch.column(1))
+            if len(m):
+                d = scores(metric, m.astype(np.float64), centres)
+                at = np.argsort(d, axis=1, kind="stable")[:, :k]
+                kept = batch.take(pa.array(np.repeat(np.arange(len(m)), at.shape[1])))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(at.ravel().astype(np.int32))], names=["id", "embedding", "cell"])
+
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return vectors.select("id", "embedding").mapInArrow(run, f"id long, embedding {kind}, cell int")
+
+
 def farthest_points(ids: np.ndarray, matrix: np.ndarray, buckets: int, share: float, seed: int, old: np.ndarray | None = None) -> np.ndarray:
     """Ids of representatives: some at random, then again and again the vector farthest from all so far (the least
     Euclidean distance to them is greatest; ties: first). Earlier ones stay. Sorted, each once."""

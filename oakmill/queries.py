@@ -476,6 +476,15 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return store.search("v", vectors.where("id % 20 = 0"), 3).select("query", "rank", "id")
 
 
+@query("vector_ivf", SQL["vector_topk"])
+def vector_ivf(spark: SparkSession, d: str) -> DataFrame:
+    """The same from an inverted file whose cells are all searched; tests measure the recall of fewer."""
+    store = VectorStore(spark)
+    vectors = _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    store.create_index("v", vectors, kind="ivf", cells=16, probes=16)
+    return store.search("v", vectors.where("id % 20 = 0"), 3).select("query", "rank", "id")
+
+
 @query(
     "vector_filtered",
     """SELECT query, id FROM (

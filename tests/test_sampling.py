@@ -81,3 +81,27 @@ def test_indexes_are_kept_in_folders(spark, tmp_path):
     assert other.metric["v"] == "cosine" and other.data["v"].count() == 20
     other.delete_index("v")
     assert not (tmp_path / "indexes" / "v").exists()
+
+
+def test_recall_of_an_inverted_file(spark, tmp_path):
+    """Every vector is in a cell; the cells searched by default find at least 0.9 of the nearest, all cells all of them."""
+    data = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    queries = data.where("id % 20 = 0")
+    store = VectorStore(spark, f"file://{tmp_path}/indexes")
+    store.create_index("flat", data)
+    store.create_index("ivf", data, kind="ivf")
+    store.create_index("all", data, kind="ivf", cells=10, probes=10)
+    want = {(r["query"], r["id"]) for r in store.search("flat", queries, 5).collect()}
+    got = {(r["query"], r["id"]) for r in store.search("ivf", queries, 5).collect()}
+    assert len(want & got) >= 0.9 * len(want)
+    assert {(r["query"], r["id"]) for r in store.search("all", queries, 5).collect()} == want
+    rng = np.random.default_rng(0)
+    parts = (rng.normal(size=(30, 8)) * 10)[rng.integers(0, 30, 2000)] + rng.normal(size=(2000, 8))
+    grouped = vectors.probes_for(parts, vectors.k_means(parts, 40, "l2"), "l2")
+    assert grouped < 10  # where vectors lie in groups a few cells do
+    store.save_index("ivf")
+    store.load_index("ivf")
+    assert {(r["query"], r["id"]) for r in store.search("ivf", queries, 5).collect()} == got
+    more = spark.createDataFrame([(10**9, data.first()["embedding"])], "id long, embedding array<float>")
+    store.insert_data("ivf", more)
+    assert 10**9 in {r["id"] for r in store.search("ivf", data.limit(1), 2).collect()}
