@@ -82,7 +82,7 @@ def test_pipeline_of_awkward_rows(spark, sf):
 
 
 def test_a_repeated_row_keeps_its_text_once(spark, sf):
-    long = " ".join(f"word{k}" for k in range(40)) + "."
+    long = " ".join(f"word{k}" for k in range(60)) + "."
     own = " ".join(f"own{k}" for k in range(60)) + "."
     docs = spark.createDataFrame([(1, long), (1, long), (2, f"{own} {long}"), (3, None), (3, ""), (None, "no id"), (None, "no id")], "doc_id long, text string")
     for _, stage in corpus_pipeline.STAGES[1:4]:
