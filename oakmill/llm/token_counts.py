@@ -8,7 +8,8 @@ budget questions are read off without encoding again. Characters without a piece
 part what is around them.
 
 Pieces have a word mark at their start only, so words are independent; a worker keeps the counts at every prefix of the
-words seen, in a table bounded in words and in letters (longer words are walked each time). A text's count is the sum
+words seen, in a table bounded in words and in letters (longer words are walked each time). New words are walked in sorted
+order, each from where it parts from the one before. A text's count is the sum
 of its words' last counts; where a text has to be cut to keep a limit is read off the counts before the word that
 crosses it and the stored prefixes of that word.
 """
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -44,15 +47,22 @@ class PrefixCounter:
             for i in range(model.get_piece_size())
             if not any(kind(i) for kind in kinds)
         }
-        self.longest = max(map(len, self.score))
+        self.ends: dict[str, int] = {}  # the greatest length of a piece by its last three characters
+        for piece in self.score:
+            if len(piece) > 2:
+                self.ends[piece[-3:]] = max(len(piece), self.ends.get(piece[-3:], 0))
         if any(MARK in piece.lstrip(MARK) for piece in self.score):
             raise ValueError("pieces of this model cross words")
         if model.encode("a", out_type=str) != [MARK + "a"] or model.encode(" a ", out_type=str) != [MARK, MARK + "a", MARK]:
             raise ValueError("this model changes white space")
-        self.sound: dict[str, bool] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self._forget()
         self._clear()
 
+    def _forget(self) -> None:
+        """By a piece (None: no piece before), which pieces go after it and which don't, as far as asked; "": itself."""
+        self.after: dict[str | None, dict] = {}
+        self.pairs = 0
+
     def _clear(self) -> None:
         """The table: a number for each word, the count of each whole word by number, and those at its prefixes."""
         self.words: dict[str, int] = {}
@@ -79,39 +89,56 @@ class PrefixCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _goes_with(self, a: str, b: str) -> bool:
-        key = (a, b)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) > TABLE_PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[key] = self._merged(a + b) == [a, b]
-        return ok
+    def _state(self, last: str | None) -> dict:
+        return self.after.setdefault(last, {"": last})
 
-    def _is_sound(self, piece: str) -> bool:
-        ok = self.sound.get(piece)
-        if ok is None:
-            ok = self.sound[piece] = self._merged(piece) == [piece]
+    def _goes_after(self, state: dict, piece: str) -> bool:
+        """Whether a piece encodes as itself, also behind the one that the state stands for."""
+        if self.pairs > TABLE_PAIRS:
+            self._forget()  # states in use go on with what they hold
+        last = state[""]
+        ok = state[piece] = self._merged(piece) == [piece] if last is None else self._merged(last + piece) == [last, piece]
+        self.pairs += 1
         return ok
 
     def walk(self, marked: str) -> list[int]:
         """Token count at each prefix of a string that has word marks for blanks; index 0: no character."""
-        counts, last = [0], [None]
-        pieces, longest, begin = self.score, self.longest, 0
-        for i in range(1, len(marked) + 1):
-            for j in range(max(begin, i - longest), i):
-                piece = marked[j:i]
-                if piece in pieces and (self._goes_with(last[j], piece) if j > begin else self._is_sound(piece)):
-                    counts.append(counts[j] + 1)
-                    last.append(piece)
+        return next(self.walks([marked]))
+
+    def walks(self, words: Iterable[str]) -> Iterator[list[int]]:
+        """``walk`` of each word. What a word begins with as the one before it did is not walked again, so sorted ones take least."""
+        pieces, longest = self.score, self.ends.get
+        before, counts, states, begins = "", [0], [self._state(None)], [0]
+        for marked in words:
+            same = 0
+            for a, b in zip(before, marked):
+                if a != b:
                     break
-            else:
-                if marked[i - 1] in pieces:
-                    raise AssertionError("no encoding ends here")
-                counts.append(counts[i - 1] + len(marked[i - 1].encode("utf-8", "replace")))
-                last.append(None)
-                begin = i
-        return counts
+                same += 1
+            del counts[same + 1 :], states[same + 1 :]
+            while begins[-1] > same:
+                begins.pop()
+            begin = begins[-1]
+            for i in range(same + 1, len(marked) + 1):
+                j = i - longest(marked[i - 3 : i], 2)
+                for j in range(j if j > begin else begin, i):
+                    piece, state = marked[j:i], states[j]
+                    ok = state.get(piece)
+                    if ok is None and piece in pieces:
+                        ok = self._goes_after(state, piece)
+                    if ok:
+                        counts.append(counts[j] + 1)
+                        states.append(self.after.get(piece) or self._state(piece))
+                        break
+                else:
+                    if marked[i - 1] in pieces:
+                        raise AssertionError("no encoding ends here")
+                    counts.append(counts[i - 1] + len(marked[i - 1].encode("utf-8", "replace")))
+                    states.append(self._state(None))
+                    begin = i
+                    begins.append(i)
+            before = marked
+            yield counts.copy()
 
     def prefixes(self, text: str) -> list[int]:
         """Token count of ``text[:i]`` for each i from 0 to its length."""
@@ -138,13 +165,13 @@ class PrefixCounter:
         missing = np.flatnonzero(place < 0).tolist()
         long: dict[str, list[int]] = {}
         new = []
-        for word in dict.fromkeys(map(words.__getitem__, missing)):
-            own = self.walk(MARK + word)
+        unknown = sorted(set(map(words.__getitem__, missing)))
+        for word, own in zip(unknown, self.walks(MARK + word for word in unknown)):
             if len(word) > WORD_LETTERS:
                 long[word] = own
             else:
                 self.words[word] = len(self.at)
-                self.at.append(np.array(own, "<u2").tobytes())
+                self.at.append(array("H", own).tobytes())
                 self.letters += len(word)
                 new.append(own[-1])
         self.whole = np.concatenate([self.whole, np.array(new, np.int64)])
@@ -163,7 +190,7 @@ class PrefixCounter:
             before = np.cumsum(found[a:b]) - found[a:b]
             last = int(np.searchsorted(before, limit, side="right")) - 1
             word = words[a + last]
-            own = long.get(word) or np.frombuffer(self.at[self.words[word]], "<u2").tolist()
+            own = long.get(word) or array("H", self.at[self.words[word]]).tolist()
             fits = max(i for i, c in enumerate(own) if before[last] + c <= limit)
             first = sum(len(w) + 1 for w in words[a : a + last]) - 1  # the mark before the text is no character
             within[k] = max(0, first + fits)

@@ -104,6 +104,28 @@ def test_prefix_counts_are_the_librarys():
         assert counts == [len(model.encode(text[:i])) for i in range(len(text) + 1)]
 
 
+def test_words_that_begin_alike_are_walked_once(monkeypatch):
+    """The letters looked at are those of the different beginnings, and the counts are the library's."""
+    import sentencepiece
+
+    class Asked(dict):
+        n = 0
+
+        def get(self, *args):
+            self.n += 1
+            return dict.get(self, *args)
+
+    path = P.path("piece_bpe_32k.model")
+    model, counter = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.PrefixCounter(path)
+    counter.ends = Asked(counter.ends)
+    monkeypatch.setattr(token_counts, "TABLE_PAIRS", 20)  # and pairs are forgotten amid words
+    words = ["the" + x + y for x in ("ory", "é漢", "oretically", "👍th") for y in ("", "s", "sé", "😀", "ising", "is", "X9")]
+    n, _ = counter.counts([" ".join(words)])
+    assert n.tolist() == [len(model.encode(" ".join(words)))]
+    marked = {token_counts.MARK + w for w in words}
+    assert counter.ends.n == len({w[:i] for w in marked for i in range(1, len(w) + 1)}) < sum(map(len, marked)) / 2
+
+
 def test_token_counts(spark, awkward, nothing):
     import sentencepiece
 
