@@ -8,7 +8,7 @@ and the matrix is compacted to the others.
 
 Texts are cut into chunks first: a single blank or line feed between two characters that are no white
 space always starts a pre-token, so what lies between two such places can be encoded by itself and its
-ids kept in the worker's table (bounded; emptied when full). A text with other white space goes through
+ids kept in the worker's table (bounded; emptied when full). New chunks go through the pattern together. A text with other white space goes through
 the pre-token pattern as a whole.
 """
 
@@ -282,14 +282,26 @@ class Encoder:
         at, sizes = known[0][codes[aged]], known[1][codes[aged]]
         self._put(blank, [keys[k] for k in aged.tolist()], _slices(flat, at, sizes), np.r_[0, np.cumsum(sizes)])
         new = np.flatnonzero(codes < 0).tolist()
-        split = [self.pattern.findall(texts[k]) for k in new]
-        flat_pieces = [p for own in split for p in own]
+        flat_pieces, upto = self._split(list(map(texts.__getitem__, new)), blank)
         names = dict(zip(dict.fromkeys(flat_pieces), range(len(flat_pieces))))
         ids, starts, sizes = merge_all([p.encode("utf-8", "replace") for p in names], self.vocab)
         which = np.fromiter(map(names.__getitem__, flat_pieces), np.int64, len(flat_pieces))
-        ends = np.r_[0, np.cumsum(sizes[which])][np.r_[0, np.cumsum([len(own) for own in split])].astype(np.int64)]
+        ends = np.r_[0, np.cumsum(sizes[which])][np.r_[0, upto]]
         self._put(blank, [keys[k] for k in new], _slices(ids, starts[which], sizes[which]), ends)
 
+    def _split(self, texts: list[str], blank: bool) -> tuple[list[str], np.ndarray]:
+        """Pre-tokens of all texts in a row, and how many there are up to each text's end. Texts that begin with the blank
+        or line feed before them go through the pattern as one, if it parts them where they meet."""
+        if blank and texts:
+            pieces = self.pattern.findall("".join(texts))
+            at = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+            upto = np.searchsorted(at, ends)
+            if len(at) and at[-1] == ends[-1] and (at[upto] == ends).all():
+                return pieces, upto + 1
+        split = [self.pattern.findall(t) for t in texts]
+        return [p for own in split for p in own], np.cumsum([len(own) for own in split], dtype=np.int64)
+
     def _put(self, blank: bool, keys: list[str], flat: np.ndarray, ends: np.ndarray) -> None:
         while self.n_flat + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -347,14 +359,17 @@ class Encoder:
         find = self.after_blank.get
         of = np.searchsorted(heads, missing, side="right") - 1
         is_head = heads[of] == missing
-        inner = missing[~is_head].tolist()
-        new = [c for c in set(map(chunks.__getitem__, inner)) if not _edged(c[1:] if c[:1] == "\n" else c)]
-        self._add(True, new, [c if c[0] == "\n" else " " + c for c in new])
+        inner = list(map(chunks.__getitem__, missing[~is_head].tolist()))
+        found = dict.fromkeys(inner)  # in the order of the texts, as they lie in memory
+        new = [c for c in found if c and c == c.strip()]
+        new_texts = [" " + c for c in new]
+        lines = [c for c in found if c[:1] == "\n" and not _edged(c[1:])]
+        self._add(True, new + lines, new_texts + lines)
         starting = missing[is_head].tolist()
         alone = {chunks[at] for at, k in zip(starting, of[is_head].tolist()) if sizes[k] == 1}
         new = [c for c in set(map(chunks.__getitem__, starting)) if not _edged(c) or (not c and c in alone)]
         self._add(False, new, new)
-        codes[missing[~is_head]] = np.fromiter(map(find, map(chunks.__getitem__, inner), repeat(-1)), np.int64, len(inner))
+        codes[missing[~is_head]] = np.fromiter(map(find, inner, repeat(-1)), np.int64, len(inner))
         codes[missing[is_head]] = [self.other.get(chunks[at], -1) for at in starting]
 
     def _gather(self, codes, heads, sizes):

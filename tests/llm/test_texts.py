@@ -91,6 +91,29 @@ def test_merge_list_vocabulary_is_the_librarys():
     assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
 
 
+def test_new_chunks_are_split_together():
+    """A few calls of the pattern for many new chunks, none where it would not part them; the ids are the library's."""
+    from tokenizers import Tokenizer
+
+    class Asked:
+        n = 0
+
+        def findall(self, text):
+            self.n += 1
+            return pattern.findall(text)
+
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    coder = bpe.Encoder(bpe.Vocabulary.listed(P.path("byte_bpe_50k.json")), P.PATTERN)
+    pattern, coder.pattern = coder.pattern, Asked()
+    text = "first" + "".join(f"{gap}{word}{k}{end}" for k in range(60) for gap, word, end in ((" ", "thé", "."), ("\n", "it's", "!?"), (" ", "漢", "")))
+    ids, counts = coder.encode([text, text[:50]])
+    assert ids.tolist() == [i for t in (text, text[:50]) for i in own.encode(t, add_special_tokens=False).ids] and len(counts) == 2
+    assert coder.pattern.n < 10
+    whole = bpe.Encoder(coder.vocab, "(?s:.+)")
+    pieces, upto = whole._split([" a", "\nb", " c"], True)
+    assert pieces == [" a", "\nb", " c"] and upto.tolist() == [1, 2, 3]
+
+
 # -- token counts
 
 
