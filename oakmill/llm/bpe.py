@@ -8,8 +8,8 @@ and the matrix is compacted to the others.
 
 Texts are cut into chunks first: a single blank or line feed between two characters that are no white
 space always starts a pre-token, so what lies between two such places can be encoded by itself and its
-ids kept in the worker's table (bounded; emptied when full). New chunks go through the pattern together. A text with other white space goes through
-the pre-token pattern as a whole.
+ids kept in the worker's table (bounded; emptied when full). New chunks go through the
+pattern together. A text with other white space goes through the pre-token pattern as a whole.
 """
 
 from __future__ import annotations
