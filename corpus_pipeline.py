@@ -18,6 +18,9 @@ from oakmill.llm.packing import public_pack
 from oakmill.llm.substring_dedup import without_repeats
 from oakmill.llm.toxicity import train, without_toxic
 
+#: Chunks in the encoder's table: few, as executors still hold the memory of the stages before.
+CHUNKS = 50_000
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, fitted to the labelled ones among them, scores 0.7 or more go."""
@@ -42,7 +45,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each piece of each document with its place in a sequence of 2048 tokens."""
-    return public_pack(docs)
+    return public_pack(docs, CHUNKS)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

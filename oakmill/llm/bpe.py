@@ -24,6 +24,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -256,10 +257,10 @@ def _merge_long(piece: bytes, vocab: Vocabulary) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes many texts; keeps the ids of chunks seen in a bounded table."""
+    """Encodes many texts; keeps the ids of chunks seen in a bounded table, of ``most`` chunks if that is given."""
 
-    def __init__(self, vocab: Vocabulary, pattern: str):
-        self.vocab, self.pattern = vocab, regex.compile(pattern)
+    def __init__(self, vocab: Vocabulary, pattern: str, most: int | None = None):
+        self.vocab, self.pattern, self.most = vocab, regex.compile(pattern), most
         self.cut = regex.compile("(" + "|".join(map(regex.escape, vocab.special)) + ")") if vocab.special else None
         self.after_blank, self.other = {}, {}
         self.flat, self.n_flat, self.known = np.zeros(0, np.int32), 0, np.zeros((2, 0), np.int64)
@@ -329,7 +330,8 @@ class Encoder:
         return (np.concatenate(out) if out else np.zeros(0, np.int32)), totals
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.known.shape[1] > TABLE_CHUNKS or self.n_flat > TABLE_IDS:
+        most = TABLE_CHUNKS if self.most is None else self.most
+        if self.known.shape[1] > most or self.n_flat > min(TABLE_IDS, 10 * most):
             self._age()
         chunks: list[str] = []
         firsts, sizes = [], []
@@ -418,6 +420,18 @@ def groups_of(texts: list[str], most: int = GROUP_CHARS):
         yield start, len(texts)
 
 
+def text_groups(column: pa.Array, most: int):
+    """Start, end and texts of consecutive slices of a column without nulls, of at most ``most`` bytes together or one text.
+    Only one slice's texts are Python strings at a time."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield start, stop, column.slice(start, stop - start).to_pylist()
+        start = stop
+
+
 def encoded(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``ids`` (array of int) of each whole text, without special tokens.
 

@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oakmill.llm.bpe import Encoder, Vocabulary, groups_of
+from oakmill.llm.bpe import Encoder, Vocabulary, text_groups
 from oakmill.llm.common import table, tidy, whole_text, written
 
 CAPACITY = 2048
 END = 0
+GROUP_BYTES = 1_000_000
 
 
 def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
@@ -102,19 +103,22 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(runs), np.int64).reshape(-1, 5)
 
 
-def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False, chunks: int | None = None
+) -> DataFrame:
     """The pieces of each document: ``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids``.
 
     A document is the ids of its whole text (null: the empty text) and the end id. Only one longer than
-    the capacity is cut: its first piece has what is left over by full pieces.
+    the capacity is cut: its first piece has what is left over by full pieces. ``chunks`` bounds the encoder's
+    table and the texts encoded at once: fewer take less memory of a worker and more time, ids are the same.
     """
 
     def run(batches):
-        coder = Encoder(Vocabulary.listed(vocabulary), pattern)
+        coder = Encoder(Vocabulary.listed(vocabulary), pattern, chunks)
+        most = GROUP_BYTES if chunks is None else min(GROUP_BYTES, 10 * chunks)
         for batch in batches:
-            texts, names = batch.column(1).to_pylist(), batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in groups_of(texts):
-                ids, counts = coder.encode(texts[a:b])
+            for a, b, texts in text_groups(batch.column(1), most):
+                ids, counts = coder.encode(texts)
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, END).astype("<u4")
                 counts = counts + 1
@@ -181,9 +185,9 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return numbered.mapInArrow(tidy(place), schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
-    """Each piece of each document with its sequence and offset there."""
-    return packed(pieces(docs, vocabulary, pattern, capacity), capacity)
+def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY, chunks: int | None = None) -> DataFrame:
+    """Each piece of each document with its sequence and offset there. ``chunks``: as for ``pieces``."""
+    return packed(pieces(docs, vocabulary, pattern, capacity, chunks=chunks), capacity)
 
 
 def sequences(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
@@ -193,10 +197,10 @@ def sequences(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CA
     return placed.groupBy("sequence_id").agg(F.flatten(F.transform(in_order, lambda x: x["ids"])).alias("ids"))
 
 
-def public_pack(docs: DataFrame) -> DataFrame:
+def public_pack(docs: DataFrame, chunks: int | None = None) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, chunks=chunks)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """The stages of the pipeline, each held against what it has to do."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from oakmill.llm import near_dedup, substring_dedup, toxicity
+from oakmill.llm import bpe, near_dedup, packing, substring_dedup, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +93,33 @@ def test_a_repeated_row_keeps_its_text_once(spark, sf):
         docs = stage(spark, docs, sf)
     got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in docs.collect()))
     assert got == [(0, "no id"), (1, long), (2, own), (3, "")]
+
+
+def test_packing_in_the_pipeline_takes_little_memory_of_a_worker(spark, monkeypatch):
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    words = np.random.default_rng(5).integers(0, 26**5, (3000, 250))
+    texts = [" ".join(np.base_repr(w, 36) for w in row) for row in words.tolist()]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    monkeypatch.setattr(packing, "packed", lambda parts, capacity: parts)
+    whole, few = packing.public_pack(Docs()), corpus_pipeline.best_fit_packing(spark, Docs(), "")
+    expected = pa.Table.from_batches(whole(iter([batch])))  # loads the vocabulary too
+    tracemalloc.start()
+    got = pa.Table.from_batches(few(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    assert got.combine_chunks().equals(expected.combine_chunks())
+    assert peak < 100, peak
+
+
+def test_groups_of_texts_are_bounded_and_whole():
+    texts = ["a" * 5, "", "b" * 30, "é" * 4, "c", "", "d" * 9]
+    groups = list(bpe.text_groups(pa.array(texts), 10))
+    assert [t for _, _, own in groups for t in own] == texts
+    assert all(texts[a:b] == own and (len(own) == 1 or len("".join(own).encode()) <= 10) for a, b, own in groups)
+    assert [list(bpe.text_groups(pa.array(x, pa.string()), 10)) for x in ([], [""])] == [[], [(0, 1, [""])]]
