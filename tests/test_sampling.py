@@ -40,6 +40,22 @@ def test_representatives_in_chunks(spark, monkeypatch):
     assert old <= set(dealt.representatives().tolist())
 
 
+def test_representatives_are_those_of_all_vectors_at_once(spark, monkeypatch):
+    """However few candidates the driver gets, also among equal vectors, they are what one step after the other gives."""
+    monkeypatch.setattr(vectors, "CHUNK", 30)
+    ones = points(spark, 400).toPandas()
+    data = spark.createDataFrame(pd.concat([ones, ones.assign(id=ones.id + 1000)]), "id long, embedding array<float>")
+    m, ids = np.tile(np.stack(ones.embedding.to_numpy()), (2, 1)).astype(float), np.r_[ones.id, ones.id + 1000]
+    chosen, least = [5], np.full(len(ids), np.inf)
+    while len(chosen) < 60:
+        least = np.minimum(least, np.sqrt(((m - m[chosen[-1]]) ** 2).sum(1)))
+        chosen.append(int(least.argmax()))
+    assert ProxyIndex(data, buckets=60, share=1.0, first=(5,)).representatives().tolist() == sorted(ids[chosen].tolist())
+    drawn = ProxyIndex(data.repartition(5), buckets=60, share=0.5, seed=3).representatives()
+    assert drawn.tolist() == vectors.farthest_points(ids, m.astype(np.float32), 60, 0.5, 3).tolist()
+    assert len(ProxyIndex(data, buckets=900, share=0.9).representatives()) < 500  # equal vectors are no farther points
+
+
 def test_given_representatives(spark):
     data = points(spark, 100)
     index = ProxyIndex(data, buckets=10)
