@@ -202,6 +202,25 @@ def test_user_functions(video):
             video.execute(f"SELECT {name}(frame) AS x FROM frames").collect()
 
 
+def test_functions_over_pairs_are_called_for_different_values(spark):
+    """The rows are those of all pairs, repeated rows and nulls too; calls are for combinations of different values."""
+    e = Engine(spark)
+    e.register_blob_table("left_rows", spark.range(600).selectExpr("id AS l", "CASE WHEN id % 4 > 0 THEN CAST(id % 4 AS INT) END AS x"), ["l"])
+    e.register_blob_table("right_rows", spark.range(500).selectExpr("id AS r", "CASE WHEN id % 5 > 0 THEN CAST(id % 5 AS INT) END AS y"), ["r"])
+    seen = spark.sparkContext.accumulator(0)
+
+    def near(a):
+        seen.add(len(a))
+        return (a[0].fillna(0) - a[1].fillna(0)).abs() <= 1
+
+    e.register_user_defined_function("near", near, "boolean")
+    got = e.execute("SELECT * FROM left_rows a JOIN right_rows b ON near(a.x, b.y) = TRUE AND a.l < b.r").toPandas()
+    assert seen.value <= 20 * 2 and list(got.columns) == ["l", "x", "r", "y"]
+    want = {(i, j) for i in range(600) for j in range(i + 1, 500) if abs(i % 4 - j % 5) <= 1}
+    assert len(got) == len(want) and set(zip(got.l, got.r)) == want
+    assert (got.x.fillna(0) == got.l % 4).all() and (got.y.fillna(0) == got.r % 5).all()
+
+
 def test_conditions_reach_the_scan(spark, sf):
     e = Engine(spark)
     e.register_blob_table("documents", spark.read.parquet(f"{sf}/documents.parquet"), ["doc_id"])

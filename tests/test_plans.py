@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from oakmill.functions import stats
 from oakmill.functions.stats import Moments
-from oakmill.plans import directives, kinds
+from oakmill.plans import combinations, directives, kinds
 from oakmill.plans.directives import QueryError
 from oakmill.plans.kinds import Kind
 from oakmill.plans.lineage import cnf, where_clauses
@@ -158,3 +158,26 @@ def test_bennett_covers():
         m = Moments(500, x.sum(), (x * x).sum(), x.max())
         hits += abs(x.mean() - 3) <= stats.bennett(m, 0.05)
     assert hits >= 195
+
+
+def test_conditions_over_combinations():
+    assert combinations.conjuncts("a = 1 AND b BETWEEN 1 AND 2 AND CASE WHEN x AND y THEN 1 END = 1 AND (p AND q)") == ["a = 1", "b BETWEEN 1 AND 2", "CASE WHEN x AND y THEN 1 END = 1", "(p AND q)"]
+    assert combinations.conjuncts("a = 1 AND b OR c") == ["a = 1 AND b OR c"]
+    tables = {"t": {"a": True, "k": True, "x": False}, "u": {"b": True, "k": True}, "v": {"c": True, "k": True}}
+    made = lambda text: combinations.combined(text, tables, {"f"})
+    text, (found,) = made("SELECT * FROM t JOIN u AS w ON f(a, w.b) = TRUE AND t.x < w.b WHERE t.k = 3")
+    assert text == "SELECT * EXCEPT (__combined0_0, __combined0_1) FROM __combined0 CROSS JOIN t t CROSS JOIN u w WHERE (t.x < w.b) AND (t.k = 3) AND (t.`a` <=> __combined0_0) AND (w.`b` <=> __combined0_1)"
+    assert found.sql == "SELECT t.`a` AS __combined0_0, w.`b` AS __combined0_1 FROM (SELECT DISTINCT t.`a` FROM t t WHERE (t.k = 3)) t CROSS JOIN (SELECT DISTINCT w.`b` FROM u w) w WHERE f(a, w.b) = TRUE"
+    _, (found,) = made("SELECT 1 AS one FROM t, u, v WHERE t.k = u.k AND f(a, c)")  # values only of rows that are joined
+    assert "SELECT DISTINCT t.`a` FROM t t CROSS JOIN u u WHERE (t.k = u.k)" in found.sql
+    for kept in (
+        "SELECT a FROM t WHERE f(a, k)",
+        "SELECT a FROM t JOIN u ON t.k = u.k WHERE f(a, b)",
+        "SELECT a FROM t JOIN u ON upper(t.k) = upper(u.k) WHERE f(a, b)",
+        "SELECT a FROM t LEFT JOIN u ON f(a, b)",
+        "SELECT a FROM t, u WHERE f(a, b) > rand()",
+        "SELECT a FROM t, u WHERE f(x, b)",
+        "SELECT a FROM t, u WHERE f(t.k, 1) AND t.a = u.b",
+        "SELECT a FROM t JOIN u USING (k) WHERE f(a, b)",
+    ):
+        assert made(kept) is None
