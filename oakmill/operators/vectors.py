@@ -1,7 +1,7 @@
 """Vector stores, representatives of an embedding table, and scores propagated from them.
 
-Distances to representatives are computed by numpy on Arrow batches: representatives number some thousands at
-most (``buckets``, a parameter), so they are sent to every task.
+Distances to representatives are computed by numpy between blocks of bounded size. Chosen representatives number some
+thousands at most (``buckets``, a parameter); given ones may be any share of the vectors and stay distributed.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ METRICS = ("l2", "cosine", "dot")
 CHUNK = 1000  # of the vectors farthest from representatives, so many go to the driver at once
 BLOCK = 4096
 BROADCAST_ROWS = 1_000_000
+DEALT, CELLS = 16_384, 2_000_000  # vectors of a block, distances computed at once
 SAMPLE, MOST_CELLS, ROUNDS = 20_000, 4096, 10
 
 
@@ -45,26 +46,50 @@ def scores(metric: str, vectors: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.maximum((vectors**2).sum(1)[:, None] - 2 * dots + (others**2).sum(1)[None], 0)
 
 
-def nearest(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, metric: str = "l2", chunk: int = 4096) -> DataFrame:
-    """``id, nearest`` (array of (other, distance), near to far, ties by id) of each row of ``vectors`` (id, embedding)
-    among a bounded set of vectors."""
-    order = np.argsort(ids, kind="stable")
-    ids, matrix = ids[order], matrix[order].astype(np.float64)
-    k = min(k, len(ids))
+def nearest(vectors: DataFrame, others: DataFrame, n: int, k: int, metric: str = "l2") -> DataFrame:
+    """``id, nearest`` (array of (distance, other), near to far, ties by id) of each row of ``vectors`` (id, embedding)
+    among ``others`` (id, embedding), of which there are about ``n``, however many.
 
-    def run(batches):
-        for batch in batches:
-            m = _matrix(batch.column(1))
-            for a in range(0, len(m), chunk):
-                d = scores(metric, m[a : a + chunk].astype(np.float64), matrix)
-                at = np.argsort(d, axis=1, kind="stable")[:, :k]
-                rows = [[{"other": int(ids[j]), "distance": float(d[i, j])} for j in row] for i, row in enumerate(at.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(rows)), pa.array(rows, pa.list_(pa.struct([("other", pa.int64()), ("distance", pa.float64())])))],
-                    names=["id", "nearest"],
-                )
-
-    return vectors.select(F.col("id").cast("long"), "embedding").mapInArrow(run, "id long, nearest array<struct<other: long, distance: double>>")
+    Both are dealt to blocks of about ``DEALT`` rows; each pair of blocks is one group, which goes through its distances a
+    few rows at a time and gives k for each of its vectors.
+    """
+    row = lambda df: df.select(F.col("id").cast("long"), F.col("embedding").cast("array<float>"))
+    deal = lambda parts: F.pmod(F.xxhash64("id", F.lit(2)), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    blocks, parts = max(1, -(-vectors.count() // DEALT)), max(1, -(-n // DEALT))
+    asked = row(vectors).select("id", "embedding", deal(blocks).alias("b"), every(parts).alias("p"))
+    held = row(others).select("id", "embedding", every(blocks).alias("b"), deal(parts).alias("p"))
+
+    def meet(x: pa.Table, o: pa.Table) -> pa.Table:
+        o = o.sort_by("id")
+        ids, own, m, out = o.column("id").to_numpy(), x.column("id"), _matrix(x.column("embedding")).astype(np.float64), []
+        columns = _columns(_matrix(o.column("embedding")))
+        rows = max(1, CELLS // max(1, len(ids)))
+        for a in range(0, len(m) if len(ids) else 0, rows):
+            out += _nearest_rows(m[a : a + rows], ids, columns, k, metric)
+        found = pa.array(out, pa.list_(pa.struct([("distance", pa.float64()), ("other", pa.int64())])))
+        return pa.table({"id": own if out else pa.array([], pa.int64()), "nearest": found})
+
+    kind = "id long, nearest array<struct<distance: double, other: long>>"
+    met = asked.groupBy("b", "p").cogroup(held.groupBy("b", "p")).applyInArrow(meet, kind)
+    return met.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("nearest"))), 1, k).alias("nearest"))
+
+
+def _nearest_rows(m: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int, metric: str) -> list[list[dict]]:
+    """The k nearest of some vectors, ties by id. Squared distances by products tell who may be among them; those are
+    computed dimension by dimension, so that equal vectors have equal distances."""
+    d = scores(metric, m, columns.T)
+    k = min(k, len(ids))
+    last = np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(ids) else np.full(len(m), np.inf)
+    if metric == "l2":
+        last = last + 1e-12 * ((m**2).sum(1) + (columns**2).sum(0).max())
+    out = []
+    for v, row, most in zip(m, d, last):
+        at = np.flatnonzero(row <= most)
+        exact = euclidean(columns[:, at], v) ** 2 if metric == "l2" else row[at]
+        best = np.lexsort((ids[at], exact))[:k]
+        out.append([{"distance": float(exact[j]), "other": int(ids[at[j]])} for j in best])
+    return out
 
 
 def k_means(sample: np.ndarray, cells: int, metric: str, seed: int = 1234) -> np.ndarray:
@@ -221,8 +246,8 @@ class VectorStore:
 
     def execute(self, name: str, representatives: DataFrame, k: int = 5) -> DataFrame:
         """The k nearest of some vectors of the index (``id``) for all of it."""
-        reps = self.get_embeddings_by_id(name, representatives).toArrow()
-        return nearest(self.data[name], reps.column(0).to_numpy(), _matrix(reps.column(1)), k, self.metric[name])
+        reps = self.get_embeddings_by_id(name, representatives)
+        return nearest(self.data[name], reps, reps.count(), k, self.metric[name])
 
 
 def _celled(vectors: DataFrame, centres: np.ndarray, k: int, metric: str) -> DataFrame:
@@ -320,13 +345,18 @@ class ProxyIndex:
     seed: int = 1234
     k: int = 5
     first: tuple[int, ...] = ()  # ids that represent in any case, before others are chosen
-    _reps: tuple[np.ndarray, np.ndarray] | None = None
+    _reps: DataFrame | None = None
+    _count: int = 0
     _nearest: DataFrame | None = None
 
     def representatives(self) -> np.ndarray:
+        return np.sort(self.held()[0].select("id").toArrow().column(0).to_numpy())
+
+    def held(self) -> tuple[DataFrame, int]:
+        """``id, embedding`` of the representatives, and how many there are."""
         if self._reps is None:
             self._choose(np.array(self.first, np.int64) if self.first else None)
-        return self._reps[0]
+        return self._reps, self._count
 
     def _choose(self, old: np.ndarray | None) -> None:
         rows = self.vectors.select(F.col("id").cast("long"), F.col("embedding").cast("array<float>")).persist()
@@ -353,7 +383,7 @@ class ProxyIndex:
             over = over and bound[0] >= 0
             ids, matrix = np.r_[ids, near[chosen]], np.concatenate([matrix, vectors[chosen]])
         rows.unpersist()
-        self._hold(ids, matrix)
+        self._hold(self.vectors.sparkSession.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "embedding": pa.array(list(matrix), pa.list_(pa.float32()))})))
 
     def _of(self, rows: DataFrame, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and vectors of some rows."""
@@ -371,9 +401,12 @@ class ProxyIndex:
         ordered.unpersist()
         return found
 
-    def _hold(self, ids: np.ndarray, matrix: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        self._reps = ids[order], matrix[order]
+    def _hold(self, reps: DataFrame) -> None:
+        reps = reps.persist()
+        self._count = reps.count()
+        if self._reps is not None:
+            self._reps.unpersist()
+        self._reps = reps
         self._forget()
 
     def _forget(self) -> None:
@@ -385,19 +418,16 @@ class ProxyIndex:
         """These vectors (ids, or a DataFrame with a column ``id``) represent all others from here on."""
         wanted = ids.select("id") if isinstance(ids, DataFrame) else self.vectors.sparkSession.createDataFrame(pd.DataFrame({"id": np.array(ids, np.int64)}))
         own = self.vectors.select(F.col("id").cast("long"), F.col("embedding").cast("array<float>"))
-        data = own.join(wanted.distinct(), "id", "left_semi").toArrow()
-        self._hold(data.column(0).to_numpy(), _matrix(data.column(1)))
+        self._hold(own.join(wanted.distinct(), "id", "left_semi"))
 
     def nearest(self) -> DataFrame:
         if self._nearest is None:
-            self.representatives()
-            self._nearest = nearest(self.vectors, *self._reps, self.k).persist()
+            self._nearest = nearest(self.vectors, *self.held(), self.k).persist()
         return self._nearest
 
     def nearest_of(self, new: DataFrame) -> DataFrame:
         """Nearest representatives of vectors that came later; the representatives stay."""
-        self.representatives()
-        return nearest(new, *self._reps, self.k)
+        return nearest(new, *self.held(), self.k)
 
     def refresh(self, new: DataFrame) -> None:
         """Adds vectors and chooses again; representatives so far stay."""
@@ -413,7 +443,7 @@ class ProxyIndex:
         """
         own = rep_scores.select(F.col("id").alias("other"), F.col("score").cast("double").alias("own"))
         near = self.nearest().select("id", F.explode("nearest").alias("n")).select("id", "n.other", (F.sqrt("n.distance") + 1e-8).alias("d"))
-        joined = near.join(bounded(own, len(self.representatives())), "other", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+        joined = near.join(bounded(own, self.held()[1]), "other", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
         sums = joined.groupBy("id").agg(
             F.sum("d").alias("D"),
             F.count(F.lit(1)).alias("n"),

@@ -65,6 +65,26 @@ def test_given_representatives(spark):
     assert ProxyIndex(data, buckets=5, share=1.0, first=(7,)).representatives().tolist() == ProxyIndex(data, buckets=5, share=1.0, first=(7,), seed=99).representatives().tolist()
 
 
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Block by block the nearest are those of all at once, equal vectors by id and at distance 0; the driver holds no vectors."""
+    ones = points(spark, 150).toPandas()
+    data = spark.createDataFrame(pd.concat([ones, ones.assign(id=ones.id + 1000)]), "id long, embedding array<float>")
+    monkeypatch.setattr(vectors, "DEALT", 70)
+    monkeypatch.setattr(vectors, "CELLS", 500)
+    index = ProxyIndex(data, k=4)
+    index.set_representatives(data.where("id % 2 = 0").select("id"))
+    assert isinstance(index.held()[0], type(data)) and index.held()[1] == 150
+    m, ids = np.tile(np.stack(ones.embedding.to_numpy()), (2, 1)).astype(float), np.r_[ones.id, ones.id + 1000]
+    reps = np.flatnonzero(ids % 2 == 0)
+    got = {r["id"]: r["nearest"] for r in index.nearest().collect()}
+    assert len(got) == 300
+    for i, v in zip(ids, m):
+        d = ((m[reps] - v) ** 2).sum(1)
+        order = np.lexsort((ids[reps], d))[:4]
+        assert [n["other"] for n in got[i]] == ids[reps][order].tolist()
+        assert np.allclose([n["distance"] for n in got[i]], d[order]) and (i % 2 or got[i][0]["distance"] == got[i][1]["distance"] == 0)
+
+
 def test_recall_with_few_draws(spark, monkeypatch):
     """Far fewer draws than vectors: the recall holds in all but one of several runs, and not all vectors are looked at."""
     monkeypatch.setattr(approx, "DRAWS", 400)
