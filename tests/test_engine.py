@@ -214,7 +214,9 @@ def test_functions_over_pairs_are_called_for_different_values(spark):
         return (a[0].fillna(0) - a[1].fillna(0)).abs() <= 1
 
     e.register_user_defined_function("near", near, "boolean")
-    got = e.execute("SELECT * FROM left_rows a JOIN right_rows b ON near(a.x, b.y) = TRUE AND a.l < b.r").toPandas()
+    df = e.execute("SELECT * FROM left_rows a JOIN right_rows b ON near(a.x, b.y) = TRUE AND a.l < b.r")
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()  # a few combinations, but not one task
+    got = df.toPandas()
     assert seen.value <= 20 * 2 and list(got.columns) == ["l", "x", "r", "y"]
     want = {(i, j) for i in range(600) for j in range(i + 1, 500) if abs(i % 4 - j % 5) <= 1}
     assert len(got) == len(want) and set(zip(got.l, got.r)) == want
